@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlake.llm.chat import op10_chat
+from emberlake.llm.decontaminate import op5_decontaminate
 from emberlake.llm.fingerprint import op8_fingerprint
 from emberlake.llm.mixing import OP6_SQL, op6_mixing
+from emberlake.llm.neardup import op9_near_duplicates
 from emberlake.llm.pii import op4_pii
+from emberlake.llm.quality import op3_quality
 from emberlake.llm.shared import table
 
 
@@ -19,9 +22,12 @@ def _on(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSess
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality": _on(op3_quality, "documents", "labels"),
         "op4_pii": _on(op4_pii, "documents"),
+        "op5_decontaminate": _on(op5_decontaminate, "documents", "benchmark"),
         "op6_mixing": _on(op6_mixing, "documents"),
         "op8_fingerprint": _on(op8_fingerprint, "documents"),
+        "op9_near_duplicates": _on(op9_near_duplicates, "documents"),
         "op10_chat": _on(op10_chat, "conversations"),
     }
 
