@@ -19,6 +19,8 @@ from emberlake.llm.shared import cut, let
 
 K = 128
 SHINGLE = 5
+#: Stands for a null doc_id among the keys.
+NO_ID = -(2**63)
 
 
 def words_of(text: Column) -> Column:
@@ -80,7 +82,7 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
 def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
     """A non-null key, and a number within it, so that repeated ids stay apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.xxhash64(text).alias("order"), F.length(text).alias("n"), *columns)
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("order"), F.length(text).alias("n"), *columns)
     return base.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("order", "n")))
 
 
@@ -114,13 +116,13 @@ def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:
     """
     links = next_links(docs)
     own = _keyed(docs, F.coalesce(F.col("text"), F.lit("")).alias("body"))
-    own = own.withColumn("sketch", sketch(F.col("body"), k)).drop("order")
+    own = own.withColumn("sketch", sketch(F.col("body"), k))  # the same columns on both sides below, so that one exchange serves both
     l = links.select(F.col("key").alias("_key"), F.col("nth").alias("_nth"), "prev_key", "prev_nth", "prev_n")
     linked = own.join(l, (F.col("key") == F.col("_key")) & ((F.col("nth") - F.col("_nth")) == 0))
     sent = linked.select(F.col("prev_key").alias("_to"), F.col("prev_nth").alias("_to_nth"), F.expr("left(body, cast(prev_n div 4 as int))").alias("prefix"), F.col("sketch").alias("next_sketch"))
     both = own.join(sent, (F.col("key") == F.col("_to")) & ((F.col("nth") - F.col("_to_nth")) == 0))
     both = both.withColumn("edited", F.expr("concat(left(body, n - n div 4), prefix)"))
-    return both.select("doc_id", F.col("n").cast("long").alias("n_chars"), "body", "edited", "sketch", sketch(F.col("edited"), k).alias("edited_sketch"), "next_sketch")
+    return both.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "body", "edited", "sketch", sketch(F.col("edited"), k).alias("edited_sketch"), "next_sketch")
 
 
 def op8_fingerprint(docs: DataFrame) -> DataFrame:
