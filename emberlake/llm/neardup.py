@@ -7,13 +7,15 @@
    n - ceil(t n) + 1 shingles. Documents with equal sets are one class from here on.
    Two sets with Jaccard similarity t or more share a shingle of their prefixes.
 3. Classes that share a prefix shingle are candidates, if their sizes (length filter),
-   and what can follow the shared position (positional filter) and both halves of
-   the hash space (suffix filter, on the sets themselves) allow t.
-4. A pair is verified once, on the exact sets. As results are components, a pair
-   within one component needs no test: first every member of a prefix group is paired
-   with a few members of its group (the same few for the whole group), links are
-   contracted, and so again with others; what remains in different components is then
-   tested in full. Thus a group of near copies costs rows in proportion to its size.
+   what can follow the shared position (positional filter) and the parities of their
+   shingle counts in 256 parts of the hash space (suffix filter: each part that differs
+   holds a shingle that only one of them has) allow t.
+4. A pair is verified once, on the exact sets. In groups of up to ``SMALL`` classes all
+   candidates are. As results are components, a pair within one component needs no
+   test, so in larger groups every member is first paired with a few members (the same
+   few for the whole group), links are contracted, and so again with others; what then
+   is still in different components is tested in full. Thus a group of near copies
+   costs rows in proportion to its size.
 
 Defined results: a null or blank text has an empty set and links with nothing; fewer
 than ``N`` words make one shingle; repeated rows and equal sets are linked; a null
@@ -39,6 +41,8 @@ N = 4
 #: Similarity at which documents link, as a share of 100.
 PERCENT = 85
 CELL_BITS = 20
+#: Classes of a group whose pairs are all looked at; four pairs a class at most.
+SMALL = 8
 #: Members that every other member of a group is paired with, by round; then all that is left.
 LEADERS = (2, 8)
 #: Bits of the filter that keeps texts without a candidate out of the shuffle; 2 MB at most.
@@ -67,8 +71,14 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """256 bits: whether the set has an odd number of shingles in each part of the hash space."""
+    part = ((s >> _U(20)) & _U(255)).astype(np.int64)
+    return np.packbits(np.bincount(part, minlength=256).astype(np.uint8) & 1).view(np.int64)
+
+
 def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2, prefix (rare first) of each row."""
+    """doc_id, n, s1, s2, parity, prefix (rare first) of each row."""
     spark = docs.sparkSession
 
     def count(batch: pa.RecordBatch, vector: np.ndarray) -> None:
@@ -78,12 +88,12 @@ def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
             vector += np.bincount(_cells(K.shingles(word, at, n)[0]), minlength=len(vector))
 
     rarity = spark.sparkContext.broadcast(np.minimum(count_vector(docs.select("text"), 1 << CELL_BITS, count), 2**32 - 1).astype(np.uint32))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("parity", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = rarity.value
         for batch in batches:
-            sizes, a, b, prefixes = [], [], [], []
+            sizes, a, b, parities, prefixes = [], [], [], [], []
             for s in _sets(batch.column(1), n):
                 size = len(s)
                 keep = size - -(-percent * size // 100) + 1 if size else 0
@@ -91,12 +101,13 @@ def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 h = _set_hash(s)
                 a.append(h[0])
                 b.append(h[1])
+                parities.append(_parity(s))
                 prefixes.append(s[np.lexsort((s, freq[_cells(s)]))[:keep]].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(parities, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), values)], schema=schema)
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profile, "doc_id long, n long, s1 long, s2 long, prefix array<long>"), "profiles")
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profile, "doc_id long, n long, s1 long, s2 long, parity array<long>, prefix array<long>"), "profiles")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -106,6 +117,12 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * most >= percent * (n1 + n2))
 
 
+def _may_overlap(a: str, b: str, percent: int) -> Column:
+    """Suffix filter on structs with n and parity."""
+    odd = sum((F.bit_count(F.col(f"{a}.parity")[k].bitwiseXOR(F.col(f"{b}.parity")[k])) for k in range(4)), F.lit(0))
+    return (100 + percent) * odd <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(u, v, link) of the pairs, from the texts of one document of each class."""
     ids = pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))).distinct()
@@ -133,14 +150,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether the exact similarity is reached. The suffix filter first: half by half, the sets can share the smaller at most."""
-    total = len(a) + len(b)
-    half = _U(1 << 63)
-    low_a, low_b = np.searchsorted(a, half), np.searchsorted(b, half)
-    if (100 + percent) * (min(low_a, low_b) + min(len(a) - low_a, len(b) - low_b)) < percent * total:
-        return False
+    """Whether the exact similarity is reached."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= percent * (total - shared)
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def _pair(met: DataFrame) -> DataFrame:
+    return met.select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v"))
 
 
 def _labelled(live: DataFrame, stars: DataFrame | None) -> DataFrame:
@@ -152,31 +168,45 @@ def _labelled(live: DataFrame, stars: DataFrame | None) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     profiles = _profiles(docs, n, percent)
-    grouped = profiles.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first_doc"), F.first("prefix").alias("prefix"))
+    grouped = profiles.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first_doc"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "sh"))
-    shared = members.groupBy("sh").agg(F.count("*").alias("_count")).where("_count > 1").select("sh")
-    live, stars, tested, salt = cut(members.join(shared, "sh"), "members"), None, None, 0
+    shared = members.groupBy("sh").agg(F.count("*").alias("size")).where("size > 1")
+    groups = cut(members.join(shared, "sh"), "members")
+    live, stars, tested, salt = groups.where(F.col("size") > SMALL).drop("size"), None, None, 0
     for leaders in (*LEADERS, None):
         group = _labelled(live, stars)
         mixed = group.groupBy("sh").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("sh")
         left = cut(group.join(mixed, "sh"), "open")  # groups that are one component are done
-        me = F.struct("cid", "n", "pos", "label")
+        fields = ["cid", "n", "pos", "label"]
+        me = F.struct(*fields)
+        differ = F.col("a.label") != F.col("b.label")
         if leaders:
             stats = left.groupBy("sh").agg(*(F.min_by(me, F.xxhash64("cid", F.lit(salt + k))).alias(f"l{k}") for k in range(leaders)))
-            other = stats.select("sh", F.explode(F.array_distinct(F.array(*(F.col(f"l{k}") for k in range(leaders))))).alias("b"))
-            met = left.select("sh", me.alias("a")).join(other, (left["sh"] == other["sh"]) & (F.col("a.label") != F.col("b.label")) & _may_link("a", "b", percent))
+            other = stats.select(F.col("sh").alias("_sh"), F.explode(F.array_distinct(F.array(*(F.col(f"l{k}") for k in range(leaders))))).alias("b"))
+            met = left.select("sh", me.alias("a")).join(other, (F.col("sh") == F.col("_sh")) & differ & _may_link("a", "b", percent))
             salt += leaders
         else:
-            other = left.select(F.col("sh").alias("_sh"), me.alias("b"))
-            met = left.select("sh", me.alias("a")).join(other, (F.col("sh") == F.col("_sh")) & (F.col("a.label") < F.col("b.label")) & _may_link("a", "b", percent))
-        pairs = met.select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+            me = F.struct(*fields, "parity")
+            known = left.join(classes.select("cid", "parity"), "cid")
+            other = known.select(F.col("sh").alias("_sh"), me.alias("b"))
+            met = known.select("sh", me.alias("a")).join(other, (F.col("sh") == F.col("_sh")) & (F.col("a.label") < F.col("b.label")) & _may_link("a", "b", percent) & _may_overlap("a", "b", percent))
+        pairs = _pair(met)
+        if stars is None:
+            few = groups.where(F.col("size") <= SMALL)
+            one = F.struct("cid", "n", "pos")
+            met = few.select("sh", one.alias("a")).join(few.select(F.col("sh").alias("_sh"), one.alias("b")), (F.col("sh") == F.col("_sh")) & (F.col("a.cid") < F.col("b.cid")) & _may_link("a", "b", percent))
+            pairs = pairs.union(_pair(met))
+        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["u", "v"], "left_anti")
+        if leaders:
+            sign = lambda c: classes.select(F.col("cid").alias(c), F.struct("n", "parity").alias(f"_{c}"))
+            pairs = pairs.join(sign("u"), "u").join(sign("v"), "v").where(_may_overlap("_u", "_v", percent)).select("u", "v")
+        pairs = cut(pairs, "pairs")
         now = _verified(pairs, classes, docs, n, percent)
         links = now.where("link").select("u", "v")
         stars = components(links if stars is None else links.union(stars))
         tested = now.select("u", "v") if tested is None else tested.union(now.select("u", "v"))
-        drop(live, pairs)
+        drop(pairs, *([live] if hasattr(live, "_shared_path") else []))
         live = left.drop("label")
         live._shared_path = left._shared_path
     named = _labelled(classes.select("cid", "s1", "s2", "first_doc"), stars)
