@@ -35,16 +35,16 @@ from pyspark.sql import functions as F
 from emberlake.llm import kernels as K
 from emberlake.llm.components import components
 from emberlake.llm.counts import count_vector
-from emberlake.llm.shared import cut, drop
+from emberlake.llm.shared import cut, drop, small_batches
 
-N = 4
+N = 5
 #: Similarity at which documents link, as a share of 100.
-PERCENT = 85
+PERCENT = 80
 CELL_BITS = 20
 #: Classes of a group whose pairs are all looked at; four pairs a class at most.
 SMALL = 8
 #: Members that every other member of a group is paired with, by round; then all that is left.
-LEADERS = (2, 8)
+LEADERS = (2, 8, 32)
 #: Bits of the filter that keeps texts without a candidate out of the shuffle; 2 MB at most.
 MARK_BITS = 1 << 22
 
@@ -167,7 +167,7 @@ def _labelled(live: DataFrame, stars: DataFrame | None) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    profiles = _profiles(docs, n, percent)
+    profiles = _profiles(small_batches(docs), n, percent)
     grouped = profiles.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first_doc"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "sh"))
@@ -230,4 +230,4 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
 
 
 def op9_near_duplicates(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs)
+    return near_duplicates(docs, n=4, percent=85)
