@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from emberlake.llm import kernels as K
 from emberlake.llm.counts import count_vector
-from emberlake.llm.shared import cut
+from emberlake.llm.shared import cut, small_batches
 
 WINDOW = 10
 #: Benchmark text that is broadcast at once.
@@ -108,7 +108,7 @@ def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                 cut_ = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([cut_.column(0), cut_.column(1), pa.array(np.diff(at), pa.int64()), pa.array(terms_, pa.binary()), pa.array(ends_, pa.binary()), pa.array(pos_, pa.binary())], names=["doc_id", "text_hash", "n_words", "terms", "ends", "positions"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return cut(rows.mapInArrow(build, _INDEX), "postings")
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm import kernels as K
+from emberlake.llm.shared import small_batches
 
 SAMPLE = 2048
 DIMENSIONS = 48
@@ -130,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("_id")).distinct(), "_id", "left_semi")
     by_hash = [F.xxhash64("_id", F.lit(1)), F.col("_id")]
     chosen = known.where("_label = 1").orderBy(*by_hash).limit(sample).union(known.where("_label = 0").orderBy(*by_hash).limit(sample))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id").select("_id", "_label", "text")  # 2 * sample rows
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id").select("_id", "_label", "text")  # 2 * sample rows
     kind = "_id long, _label int, at binary, share binary, extra binary"
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm import kernels as K
-from emberlake.llm.shared import cut, drop
+from emberlake.llm.shared import cut, small_batches
 
 LENGTH = 400
 #: Bytes of the q-grams that place the anchors.
@@ -231,7 +231,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
 
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def _removed(text: np.ndarray, spans: list | None, length: int) -> np.ndarray:

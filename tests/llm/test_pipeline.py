@@ -1,5 +1,7 @@
 """The pipeline against the stages' meaning in plain Python, and the registration of its query."""
 
+import pytest
+
 import corpus_pipeline
 from emberlake.llm import mixing, quality
 from emberlake.llm.queries import oracle_sql, queries
@@ -7,6 +9,7 @@ from emberlake.llm.shared import table
 from tests.llm.common import docs_frame, odd_texts, rows
 from tests.llm.test_native import brute_pii
 from tests.llm.test_sets import brute_components, brute_hits
+from tests.oracle import compare, connect
 
 
 def test_pipeline(spark, sf_dir):
@@ -14,7 +17,7 @@ def test_pipeline(spark, sf_dir):
     scores = {r["doc_id"]: r["predicted"] for r in rows(quality.op3_quality(docs, labels))}
     left = [r for r in rows(docs) if scores[r["doc_id"]]]
     assert 0 < len(left) < docs.count()
-    component = {k[1]: c for k, _, c in brute_components([(r["doc_id"], r["text"]) for r in left])}
+    component = {k[1]: c for k, _, c in brute_components([(r["doc_id"], r["text"]) for r in left], 5, 80)}
     left = [r for r in left if component[r["doc_id"]] == r["doc_id"]]
     hit = {x[0] for x in brute_hits([(r["doc_id"], r["text"]) for r in left], [(r["item_id"], r["text"]) for r in rows(items)]) if x[-1]}
     left = [r for r in left if r["doc_id"] not in hit]
@@ -45,3 +48,8 @@ def test_queries():
     assert sorted(q.split("_")[0] for q in queries()) == sorted([f"op{n}" for n in range(1, 11)] + ["pipeline"])
     assert set(oracle_sql()) <= set(queries())
     assert len(corpus_pipeline.STAGES) == 5
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql(spark, sf_dir, name):
+    compare(queries()[name](spark, sf_dir), connect(sf_dir), oracle_sql()[name])
