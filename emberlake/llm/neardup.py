@@ -174,10 +174,12 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     shared = members.groupBy("sh").agg(F.count("*").alias("size")).where("size > 1")
     groups = cut(members.join(shared, "sh"), "members")
     live, stars, tested, salt = groups.where(F.col("size") > SMALL).drop("size"), None, None, 0
-    for leaders in (*LEADERS, None):
+    for turn, leaders in enumerate((*LEADERS, None)):
         group = _labelled(live, stars)
         mixed = group.groupBy("sh").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("sh")
         left = cut(group.join(mixed, "sh"), "open")  # groups that are one component are done
+        if turn and not left.take(1):
+            break
         fields = ["cid", "n", "pos", "label"]
         me = F.struct(*fields)
         differ = F.col("a.label") != F.col("b.label")
@@ -192,7 +194,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
             other = known.select(F.col("sh").alias("_sh"), me.alias("b"))
             met = known.select("sh", me.alias("a")).join(other, (F.col("sh") == F.col("_sh")) & (F.col("a.label") < F.col("b.label")) & _may_link("a", "b", percent) & _may_overlap("a", "b", percent))
         pairs = _pair(met)
-        if stars is None:
+        if not turn:
             few = groups.where(F.col("size") <= SMALL)
             one = F.struct("cid", "n", "pos")
             met = few.select("sh", one.alias("a")).join(few.select(F.col("sh").alias("_sh"), one.alias("b")), (F.col("sh") == F.col("_sh")) & (F.col("a.cid") < F.col("b.cid")) & _may_link("a", "b", percent))
@@ -202,10 +204,11 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
             sign = lambda c: classes.select(F.col("cid").alias(c), F.struct("n", "parity").alias(f"_{c}"))
             pairs = pairs.join(sign("u"), "u").join(sign("v"), "v").where(_may_overlap("_u", "_v", percent)).select("u", "v")
         pairs = cut(pairs, "pairs")
-        now = _verified(pairs, classes, docs, n, percent)
-        links = now.where("link").select("u", "v")
-        stars = components(links if stars is None else links.union(stars))
-        tested = now.select("u", "v") if tested is None else tested.union(now.select("u", "v"))
+        if pairs.take(1):
+            now = _verified(pairs, classes, docs, n, percent)
+            links = now.where("link").select("u", "v")
+            stars = components(links if stars is None else links.union(stars))
+            tested = now.select("u", "v") if tested is None else tested.union(now.select("u", "v"))
         drop(pairs, *([live] if hasattr(live, "_shared_path") else []))
         live = left.drop("label")
         live._shared_path = left._shared_path

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberlake.llm import sql
 from emberlake.llm.chat import op10_chat
 from emberlake.llm.decontaminate import op5_decontaminate
 from emberlake.llm.fingerprint import op8_fingerprint
@@ -46,4 +47,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL}
+    return {"op5_decontaminate": sql.DECONTAMINATE, "op6_mixing": OP6_SQL, "op9_near_duplicates": sql.NEAR_DUPLICATES, "op10_chat": sql.CHAT}
