@@ -157,4 +157,18 @@ QUERIES: dict[str, str] = {
     "hot_prefix_walk": _q("""SELECT length, network, hot_count, site, CAST(row_number() OVER (PARTITION BY site ORDER BY network, length) AS INTEGER) AS position FROM
       (SELECT *, (network >> 16) << 16 AS site FROM counts WHERE length >= 16)""", *_C),
     "canonical_attributes": """SELECT event_id, CASE WHEN event_id % 7 <> 0 AND event_id * 300 <= 1000000 THEN '{"attributes_version":1,"weight":' || event_id * 300 || ',"x_kind":"\\u00e9"}' END AS canonical FROM events""",
+    "stream_equals_batch": _q("SELECT ip, t, phase, total, state FROM edges, moment WHERE t <= now", *_E),
+    "rate_limit_decisions": f"""WITH RECURSIVE {_OBS},
+      calls AS (SELECT agent_id, t, sequence AS id, sequence % 5 + 1 AS cost, row_number() OVER (PARTITION BY agent_id ORDER BY t, sequence) AS n FROM obs),
+      folded AS (SELECT agent_id, n, t, id, cost, 10.0::DOUBLE >= cost AS allowed, CASE WHEN 10.0::DOUBLE >= cost THEN 10.0::DOUBLE - cost ELSE 10.0::DOUBLE END AS tokens FROM calls WHERE n = 1
+        UNION ALL SELECT agent_id, n, t, id, cost, filled >= cost, CASE WHEN filled >= cost THEN filled - cost ELSE filled END FROM
+        (SELECT c.*, least(10.0::DOUBLE, f.tokens + greatest(c.t - f.t, 0) * 0.002::DOUBLE) AS filled FROM folded f JOIN calls c ON c.agent_id = f.agent_id AND c.n = f.n + 1))
+      SELECT agent_id, t, id, cost, allowed, tokens FROM folded""",
+    "lease_history": f"""WITH RECURSIVE {_OBS},
+      requests AS (SELECT ip % 4 AS shard, t, sequence AS id, agent_id AS owner, CASE WHEN sequence % 3 = 0 THEN 'release' ELSE 'acquire' END AS action, row_number() OVER (PARTITION BY ip % 4 ORDER BY t, sequence) AS n FROM obs),
+      folded AS (SELECT shard, n, t, id, owner, action, action = 'acquire' AS granted, CASE WHEN action = 'acquire' THEN owner END AS holder, CASE WHEN action = 'acquire' THEN t + 7200 ELSE 0 END AS until FROM requests WHERE n = 1
+        UNION ALL SELECT shard, n, t, id, owner, action, granted, CASE WHEN granted AND action = 'acquire' THEN owner WHEN granted THEN NULL ELSE holder END, CASE WHEN granted AND action = 'acquire' THEN t + 7200 ELSE until END FROM
+        (SELECT r.*, f.holder, f.until, CASE WHEN r.action = 'acquire' THEN f.holder IS NULL OR f.until <= r.t OR f.holder = r.owner ELSE f.holder IS NOT NULL AND f.until > r.t AND f.holder = r.owner END AS granted
+         FROM folded f JOIN requests r ON r.shard = f.shard AND r.n = f.n + 1))
+      SELECT shard, t, id, owner, action, granted FROM folded""",
 }

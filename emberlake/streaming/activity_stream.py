@@ -10,6 +10,7 @@ transition still carries the time at which the bucket ended).
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -137,7 +138,12 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
 
 
 def _folder(spark: SparkSession) -> str:
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/emberlake-streams"
+    conf = spark.sparkContext.getConf()
+    where = conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="emberlake-streams-")
     return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -147,9 +153,12 @@ def transitions_of_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlake.sources.derived import CONFIG, observations
 
     base = _folder(spark)
-    buckets = bucket_counts(observations(spark, sf_dir)).withColumn("at", F.timestamp_seconds("bucket"))
-    buckets.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(buckets.schema).parquet(f"{base}/in")
+    buckets = bucket_counts(observations(spark, sf_dir))
+    end = buckets.agg(F.max("bucket").alias("now"))  # one row
+    past = CONFIG.allowed_lateness_seconds + 2 * CONFIG.bucket_seconds
+    clock = end.where("now is not null").select(F.lit(-1).cast("long").alias("ip"), (F.col("now") + past).alias("bucket"), F.lit(0).cast("long").alias("requests"))
+    rows = buckets.unionByName(clock).withColumn("at", F.timestamp_seconds("bucket"))  # the clock's row lets the timers up to the last bucket fire
+    rows.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
     out = run_to_end(transitions(stream, CONFIG), f"{base}/out", f"{base}/checkpoint")
-    end = buckets.agg(F.max("bucket").alias("now"))
-    return out.crossJoin(F.broadcast(end)).where("t <= now").drop("now")  # one row
+    return out.crossJoin(F.broadcast(end)).where("t <= now").drop("now")
