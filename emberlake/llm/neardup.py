@@ -123,15 +123,22 @@ def _may_overlap(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * odd <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Adds _marked: false for rows whose key surely is not among ``keys``. A fixed number of bits is broadcast; more keys mark more rows."""
+    bit = F.pmod(F.xxhash64("_key"), F.lit(MARK_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    marks = keys.select(F.floor(bit / 64).alias("_slot"), one.alias("_one")).groupBy("_slot").agg(F.bit_or("_one").alias("_bits"))
+    found = F.call_function("shiftright", F.col("_bits"), (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(marks), F.floor(bit / 64) == F.col("_slot"), "left").withColumn("_marked", F.coalesce(found, F.lit(False))).drop("_slot", "_bits")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(u, v, link) of the pairs, from the texts of one document of each class."""
     ids = pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))).distinct()
-    wanted = ids.join(classes.select("cid", F.coalesce("first_doc", F.lit(-(2**63))).alias("key"), "s1"), "cid")
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MARK_BITS))
-    marks = wanted.select((bit("key") % 64).cast("int").alias("bit"), F.floor(bit("key") / 64).alias("slot")).groupBy("slot").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits"))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), "text")
-    marked = own.withColumn("_bit", bit("key")).join(F.broadcast(marks), F.floor(F.col("_bit") / 64) == F.col("slot")).where(F.call_function("shiftright", F.col("bits"), (F.col("_bit") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    texts = marked.select("key", "text").join(wanted, "key").select("cid", "s1", "text")
+    wanted = ids.join(classes.select("cid", F.coalesce("first_doc", F.lit(-(2**63))).alias("_key"), "s1"), "cid")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_key"), "text")
+    marked = _marked(own, wanted.select("_key")).where("_marked")
+    texts = marked.select("_key", "text").join(wanted, "_key").select("cid", "s1", "text")
     side = lambda c: texts.select(F.col("cid").alias(c), F.col("s1").alias(f"s_{c}"), F.col("text").alias(f"text_{c}"))
     joined = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "s_u", "s_v", "text_u", "text_v")
 
@@ -222,14 +229,14 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one it is named after; all columns."""
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    found = near_duplicates(docs, n, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = cut(found.groupBy(key("doc_id").alias("_key")).agg(F.count("*").alias("_times")), "kept")
-    own = docs.withColumn("_key", key("doc_id"))
-    once = own.join(keep.where("_times = 1").select("_key"), "_key", "left_semi")
-    often = own.join(keep.where("_times > 1").select("_key"), "_key", "left_semi")
-    often = often.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text")))).where("_nth = 1").drop("_nth")
-    return once.unionByName(often).select(*docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    found = near_duplicates(docs, n, percent).groupBy(key.alias("_key")).agg(F.count("*").alias("rows"), F.count_if(named).alias("kept"))
+    found = cut(found, "kept")
+    own = _marked(docs.withColumn("_key", key), found.where("rows != 1 or kept != 1").select("_key"))
+    unsure = own.where("_marked").join(found.where("kept > 0").select(F.col("_key").alias("_kept")), F.col("_key") == F.col("_kept"), "left_semi")
+    one = unsure.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text")))).where("_nth = 1").drop("_nth")
+    return own.where("not _marked").unionByName(one).drop("_key", "_marked")
 
 
 def op9_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -47,4 +47,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": sql.DECONTAMINATE, "op6_mixing": OP6_SQL, "op9_near_duplicates": sql.NEAR_DUPLICATES, "op10_chat": sql.CHAT}
+    return {"op1_url_filter": sql.URL_FILTER, "op5_decontaminate": sql.DECONTAMINATE, "op6_mixing": OP6_SQL, "op9_near_duplicates": sql.NEAR_DUPLICATES, "op10_chat": sql.CHAT}

@@ -47,3 +47,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   count(*) FILTER (WHERE role = 'assistant' OR (k = turns AND last_target < turns)) AS n_examples
 FROM p GROUP BY conv_id
 """
+
+URL_FILTER = r"""
+WITH RECURSIVE rules(rule, says) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+p AS (SELECT row_number() OVER () AS r, page_id, html, coalesce(translate(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+fits AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says FROM p JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+  AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY r),
+seeds AS (SELECT CASE says WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*)::DOUBLE AS value FROM p JOIN fits USING (r) GROUP BY 1, 2),
+origin AS (SELECT kind, host, value / sum(value) OVER (PARTITION BY kind) AS value FROM seeds),
+hrefs AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1))) AS href FROM p),
+edges AS (SELECT src, dst, count(*) AS links FROM (SELECT src, translate(regexp_extract(CASE WHEN starts_with(href, '//') THEN 'http:' || href ELSE href END, '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM hrefs)
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
+flow AS (SELECT 'trust' AS kind, src AS host, dst AS target, links / sum(links) OVER (PARTITION BY src) AS share FROM edges UNION ALL SELECT 'distrust', dst, src, links / sum(links) OVER (PARTITION BY dst) FROM edges),
+steps AS (SELECT 0 AS i, kind, host, value FROM origin UNION ALL SELECT i, kind, host, sum(value) FROM
+  (SELECT s.i + 1 AS i, f.kind, f.target AS host, 0.85::DOUBLE * s.value * f.share AS value FROM steps s JOIN flow f ON s.kind = f.kind AND s.host = f.host WHERE s.i < 20
+   UNION ALL SELECT n.i + 1, o.kind, o.host, 0.15::DOUBLE * o.value FROM (SELECT DISTINCT i FROM steps WHERE i < 20) n, origin o WHERE EXISTS (SELECT 1 FROM flow)) GROUP BY i, kind, host),
+ranks AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN value ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN value ELSE 0 END) AS distrust FROM steps WHERE i = (SELECT max(i) FROM steps) GROUP BY host)
+SELECT page_id, p.host, path, fits.rule, coalesce(fits.says, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END, 'allow') AS verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM p LEFT JOIN fits USING (r) LEFT JOIN ranks ON ranks.host = p.host
+"""
