@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.shared import cut, drop
+from emberlake.llm.shared import cut, drop, sized
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,10 +28,11 @@ def components(links: DataFrame) -> DataFrame:
     grow with the logarithm of the longest chain. Self links and repeats do no harm.
     """
     edges = cut(links.select("u", "v").where("u != v").distinct(), "links")
+    size = edges.count()  # no step makes more edges than it gets
     while True:
-        stars = cut(_small_star(_large_star(edges)), "stars")
+        stars = cut(sized(_small_star(sized(_large_star(sized(edges, size)), size)), size), "stars")
         drop(edges)
-        rows, nodes = stars.agg(F.count("*"), F.count_distinct("u")).first()
-        if rows == nodes and not stars.join(stars.select(F.col("u").alias("v")), "v", "left_semi").take(1):
+        rows, nodes = sized(stars.groupBy("u").agg(F.count("*").alias("_n")), size).agg(F.sum("_n"), F.count("*")).first()
+        if (rows or 0) == nodes and not stars.join(stars.select(F.col("u").alias("v")), "v", "left_semi").take(1):
             return stars  # each node has one edge, and no node with an edge is the end of another
         edges = stars

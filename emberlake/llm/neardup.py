@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from emberlake.llm import kernels as K
 from emberlake.llm.components import components
 from emberlake.llm.counts import count_vector
-from emberlake.llm.shared import cut, drop, small_batches
+from emberlake.llm.shared import cut, drop, let, sized, small_batches
 
 N = 5
 #: Similarity at which documents link, as a share of 100.
@@ -45,6 +45,8 @@ CELL_BITS = 20
 SMALL = 8
 #: Members that every other member of a group is paired with, by round; then all that is left.
 LEADERS = (2, 8, 32)
+#: Pairs that a task verifies at least, if there are as many.
+PAIRS = 200
 #: Bits of the filter that keeps texts without a candidate out of the shuffle; 2 MB at most.
 MARK_BITS = 1 << 22
 
@@ -132,7 +134,7 @@ def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(marks), F.floor(bit / 64) == F.col("_slot"), "left").withColumn("_marked", F.coalesce(found, F.lit(False))).drop("_slot", "_bits")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, many: int, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(u, v, link) of the pairs, from the texts of one document of each class."""
     ids = pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))).distinct()
     wanted = ids.join(classes.select("cid", F.coalesce("first_doc", F.lit(-(2**63))).alias("_key"), "s1"), "cid")
@@ -140,7 +142,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
     marked = _marked(own, wanted.select("_key")).where("_marked")
     texts = marked.select("_key", "text").join(wanted, "_key").select("cid", "s1", "text")
     side = lambda c: texts.select(F.col("cid").alias(c), F.col("s1").alias(f"s_{c}"), F.col("text").alias(f"text_{c}"))
-    joined = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "s_u", "s_v", "text_u", "text_v")
+    joined = sized(pairs.join(side("u"), "u").join(side("v"), "v"), many, PAIRS).select("u", "v", "s_u", "s_v", "text_u", "text_v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +155,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
                 link.append(_linked(a, b, percent))
             yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.int64()), pa.array([v[k] for k in keep], pa.int64()), pa.array(link, pa.bool_())], names=["u", "v", "link"])
 
-    return cut(joined.mapInArrow(verify, "u long, v long, link boolean").distinct(), "verified")
+    return cut(sized(joined.mapInArrow(verify, "u long, v long, link boolean").distinct(), many), "verified")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -180,12 +182,14 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     members = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "sh"))
     shared = members.groupBy("sh").agg(F.count("*").alias("size")).where("size > 1")
     groups = cut(members.join(shared, "sh"), "members")
+    size = groups.count()
     live, stars, tested, salt = groups.where(F.col("size") > SMALL).drop("size"), None, None, 0
     for turn, leaders in enumerate((*LEADERS, None)):
         group = _labelled(live, stars)
         mixed = group.groupBy("sh").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("sh")
-        left = cut(group.join(mixed, "sh"), "open")  # groups that are one component are done
-        if turn and not left.take(1):
+        left = cut(sized(group.join(mixed, "sh"), size), "open")  # groups that are one component are done
+        size = left.count()
+        if turn and not size:
             break
         fields = ["cid", "n", "pos", "label"]
         me = F.struct(*fields)
@@ -202,17 +206,17 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
             met = known.select("sh", me.alias("a")).join(other, (F.col("sh") == F.col("_sh")) & (F.col("a.label") < F.col("b.label")) & _may_link("a", "b", percent) & _may_overlap("a", "b", percent))
         pairs = _pair(met)
         if not turn:
-            few = groups.where(F.col("size") <= SMALL)
-            one = F.struct("cid", "n", "pos")
-            met = few.select("sh", one.alias("a")).join(few.select(F.col("sh").alias("_sh"), one.alias("b")), (F.col("sh") == F.col("_sh")) & (F.col("a.cid") < F.col("b.cid")) & _may_link("a", "b", percent))
+            few = groups.where(F.col("size") <= SMALL).groupBy("sh").agg(F.collect_list(F.struct("cid", "n", "pos")).alias("all"))  # SMALL at most
+            twos = let(F.col("all"), lambda x: F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, SMALL), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+            met = few.select(F.inline(twos)).where(_may_link("a", "b", percent))
             pairs = pairs.union(_pair(met))
         pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["u", "v"], "left_anti")
         if leaders:
             sign = lambda c: classes.select(F.col("cid").alias(c), F.struct("n", "parity").alias(f"_{c}"))
             pairs = pairs.join(sign("u"), "u").join(sign("v"), "v").where(_may_overlap("_u", "_v", percent)).select("u", "v")
-        pairs = cut(pairs, "pairs")
-        if pairs.take(1):
-            now = _verified(pairs, classes, docs, n, percent)
+        pairs = cut(sized(pairs, size if turn else groups.count()), "pairs")
+        if many := pairs.count():
+            now = _verified(pairs, many, classes, docs, n, percent)
             links = now.where("link").select("u", "v")
             stars = components(links if stars is None else links.union(stars))
             tested = now.select("u", "v") if tested is None else tested.union(now.select("u", "v"))

@@ -45,6 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sized(df: DataFrame, rows: int, per_task: int = 20_000) -> DataFrame:
+    """``df`` in as few tasks as ``rows`` rows need; never more than it has."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, after telling the session to hand whole texts to Python in batches of so many rows at most."""
     conf = df.sparkSession.conf
