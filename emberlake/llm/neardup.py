@@ -211,10 +211,13 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
             met = few.select(F.inline(twos)).where(_may_link("a", "b", percent))
             pairs = pairs.union(_pair(met))
         pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["u", "v"], "left_anti")
-        if leaders:
-            sign = lambda c: classes.select(F.col("cid").alias(c), F.struct("n", "parity").alias(f"_{c}"))
-            pairs = pairs.join(sign("u"), "u").join(sign("v"), "v").where(_may_overlap("_u", "_v", percent)).select("u", "v")
         pairs = cut(sized(pairs, size if turn else groups.count()), "pairs")
+        if leaders:
+            raw, found = pairs, pairs.count()
+            signs = _marked(classes.select(F.col("cid").alias("_key"), "n", "parity"), raw.select(F.col("u").alias("_key")).union(raw.select("v"))).where("_marked")
+            sign = lambda c: signs.select(F.col("_key").alias(c), F.struct("n", "parity").alias(f"_{c}"))
+            pairs = cut(sized(raw.join(sign("u"), "u").join(sign("v"), "v").where(_may_overlap("_u", "_v", percent)).select("u", "v"), found), "pairs")
+            drop(raw)
         if many := pairs.count():
             now = _verified(pairs, many, classes, docs, n, percent)
             links = now.where("link").select("u", "v")
