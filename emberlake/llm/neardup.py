@@ -136,13 +136,13 @@ def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, many: int, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(u, v, link) of the pairs, from the texts of one document of each class."""
-    ids = pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))).distinct()
-    wanted = ids.join(classes.select("cid", F.coalesce("first_doc", F.lit(-(2**63))).alias("_key"), "s1"), "cid")
+    info = classes.select("cid", F.coalesce("first_doc", F.lit(-(2**63))).alias("_key"), "s1")
+    at = lambda c: info.select(F.col("cid").alias(c), F.col("_key").alias(f"key_{c}"), F.col("s1").alias(f"s_{c}"))
+    placed = cut(sized(pairs.join(at("u"), "u").join(at("v"), "v"), many), "placed")
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_key"), "text")
-    marked = _marked(own, wanted.select("_key")).where("_marked")
-    texts = marked.select("_key", "text").join(wanted, "_key").select("cid", "s1", "text")
-    side = lambda c: texts.select(F.col("cid").alias(c), F.col("s1").alias(f"s_{c}"), F.col("text").alias(f"text_{c}"))
-    joined = sized(pairs.join(side("u"), "u").join(side("v"), "v"), many, PAIRS).select("u", "v", "s_u", "s_v", "text_u", "text_v")
+    texts = _marked(own, placed.select(F.col("key_u").alias("_key")).union(placed.select("key_v"))).where("_marked").select("_key", "text")
+    side = lambda c: texts.select(F.col("_key").alias(f"key_{c}"), F.col("text").alias(f"text_{c}"))
+    joined = sized(placed.join(side("u"), "key_u").join(side("v"), "key_v"), many, PAIRS).select("u", "v", "s_u", "s_v", "text_u", "text_v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
