@@ -51,3 +51,21 @@ def lease_history(requests: DataFrame, ttl: int, key: str = "shard") -> DataFram
         return F.struct(owner.alias("owner"), until.alias("until"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     return ordered.select(key, F.inline(F.aggregate("_requests", start, step, lambda acc: acc["out"])))
+
+
+def claims(messages: DataFrame, ttl: int) -> DataFrame:
+    """(agent_id, sequence, t, id, claimed) from messages (agent_id, sequence, t, id), in order of (t, id).
+
+    The first message of an identity claims it for ``ttl`` seconds; until then repeats
+    are refused and do not extend the claim; after that the next one claims it anew.
+    """
+    key = ["agent_id", "sequence"]
+    ordered = messages.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("_messages"))
+    start = F.struct(F.lit(None).cast("long").alias("until"), F.array().cast("array<struct<t:bigint,id:bigint,claimed:boolean>>").alias("out"))
+
+    def step(acc, m):
+        free = acc["until"].isNull() | (m["t"] >= acc["until"])
+        row = F.struct(m["t"].cast("long").alias("t"), m["id"].cast("long").alias("id"), free.alias("claimed"))
+        return F.struct(F.when(free, m["t"] + ttl).otherwise(acc["until"]).cast("long").alias("until"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    return ordered.select(*key, F.inline(F.aggregate("_messages", start, step, lambda acc: acc["out"])))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlake.functions.addressing import MIN_LENGTH, VIEW_LENGTHS, capacity, format_prefix, hot_ratio, mask
+from emberlake.functions.addressing import MIN_LENGTH, VIEW_LENGTHS, capacity, capacity_text, format_ipv6, format_prefix, hot_ratio, mask, mask_ipv6, unsigned_order
 
 #: Seconds of a span of a changelog.
 SPAN = 86400
@@ -43,6 +43,29 @@ def prefix_counts(hot: DataFrame, min_length: int = MIN_LENGTH["ipv4"]) -> DataF
     return out
 
 
+def prefix_counts_ipv6(hot: DataFrame, min_length: int = MIN_LENGTH["ipv6"]) -> DataFrame:
+    """(length, hi, lo, hot_count) of all IPv6 prefixes with hot addresses, from distinct addresses (hi, lo).
+
+    Host routes are counted level by level as for IPv4; halves are masked apart.
+    """
+    level, out, top = hot.select("hi", "lo", F.lit(1).cast("long").alias("hot_count")), None, 128
+    while top >= min_length:
+        low = max(top - 7, min_length)
+        rows = level.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "hot_count", F.explode(F.sequence(F.lit(low), F.lit(top))).alias("length"))
+        hi, lo = mask_ipv6(F.col("_hi"), F.col("_lo"), F.col("length"))
+        part = rows.select("length", hi.alias("hi"), lo.alias("lo"), "hot_count").groupBy("length", "hi", "lo").agg(F.sum("hot_count").alias("hot_count"))
+        out = part if out is None else out.unionByName(part)
+        level, top = part.where(F.col("length") == low).drop("length"), low - 1
+    return out
+
+
+def with_stats_ipv6(counts: DataFrame) -> DataFrame:
+    """Adds prefix, capacity as decimal text, hot_ratio, and order: the listing's sort key (longest first, then by address)."""
+    prefix = F.concat(format_ipv6(F.col("hi"), F.col("lo")), F.lit("/"), F.col("length").cast("string"))
+    order = F.struct(-F.col("length"), unsigned_order(F.col("hi")), unsigned_order(F.col("lo")))
+    return counts.withColumn("prefix", prefix).withColumn("capacity", capacity_text(F.col("length"), 128)).withColumn("hot_ratio", hot_ratio(F.col("hot_count"), F.col("length"), 128)).withColumn("order", order)
+
+
 def rolled_up(counts: DataFrame, length: int) -> DataFrame:
     """Counts of one length from counts of a longer one: parents are the sums of their parts."""
     return counts.groupBy(mask(F.col("network"), length).alias("network")).agg(F.sum("hot_count").alias("hot_count")).select(F.lit(length).alias("length"), "network", "hot_count")

@@ -122,6 +122,17 @@ def dedup_against_seen(spark, d):
     return ingest.unseen(o, o.where("sequence % 3 = 0"))
 
 
+def dedup_with_ttl(spark, d):
+    o = D.observations(spark, d).select("agent_id", "sequence", "t", F.col("sequence").alias("id"))
+    again = [o.where(F.col("sequence") % k == 0).select("agent_id", "sequence", (F.col("t") + later).alias("t"), (F.col("id") + n * 10000000).alias("id")) for n, (k, later) in enumerate(((3, 5000), (4, 9000), (6, 12000)), 1)]
+    return folds.claims(o.union(again[0]).union(again[1]).union(again[2]), 5400)
+
+
+def prefix_counts_ipv6(spark, d):
+    hot = _hot(spark, d).select(F.lit(2306139568115548160).cast("long").alias("hi"), (F.lit(-(2**63)) + F.col("ip")).alias("lo"))
+    return prefixes.prefix_counts_ipv6(hot)
+
+
 def high_water_mark(spark, d):
     return ingest.high_water_marks(D.observations(spark, d).where("sequence % 97 != 50").select("agent_id", F.floor(F.col("sequence") / 5).alias("sequence")))
 
@@ -406,9 +417,9 @@ def stream_equals_batch(spark, d):
 
 
 _NAMES = (
-    "obs_projection obs_rejects ip_text_roundtrip prefix_text common_prefix_length event_ids shard_assignment dedup_first dedup_against_seen high_water_mark coalesced_batches batch_cost agent_auth lateness_outcomes outcome_counts"
+    "obs_projection obs_rejects ip_text_roundtrip prefix_text common_prefix_length event_ids shard_assignment dedup_first dedup_against_seen dedup_with_ttl high_water_mark coalesced_batches batch_cost agent_auth lateness_outcomes outcome_counts"
     " reconciliation_rows bucket_counts sliding_window_total window_ticks ip_state_timeline ip_transitions hot_ip_events shard_gauges transition_counters transition_store cold_eviction_candidates capacity_victims hot_set_current"
-    " request_count_latest attribute_bytes log_positions prefix_counts prefix_stats prefix_rollup_hierarchical total_hot prefix_stats_changelog latest_prefix_stats hot_prefixes hot_prefixes_minimal classification_changes"
+    " request_count_latest attribute_bytes log_positions prefix_counts prefix_counts_ipv6 prefix_stats prefix_rollup_hierarchical total_hot prefix_stats_changelog latest_prefix_stats hot_prefixes hot_prefixes_minimal classification_changes"
     " detections_since detection_gauges ancestor_counts longest_match prefix_containment ip_view prefix_view metadata_local metadata_inherited metadata_effective_prefix metadata_effective metadata_conflicts config_reevaluation"
     " config_versions rebucketed warm_up snapshot_plus_tail shard_merge rate_limit_decisions lease_history audit_counts audit_records hot_prefix_walk canonical_attributes stream_equals_batch"
 ).split()

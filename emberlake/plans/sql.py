@@ -92,6 +92,14 @@ QUERIES: dict[str, str] = {
       FROM (SELECT DISTINCT ip, {_IP('ip')} AS key FROM obs))""", _OBS),
     "dedup_first": _q("SELECT *, sequence AS arrival FROM obs", _OBS),
     "dedup_against_seen": _q("SELECT * FROM obs WHERE sequence % 3 <> 0", _OBS),
+    "dedup_with_ttl": f"""WITH RECURSIVE {_OBS},
+      m AS (SELECT agent_id, sequence, t, sequence AS id FROM obs UNION ALL SELECT agent_id, sequence, t + 5000, sequence + 10000000 FROM obs WHERE sequence % 3 = 0
+        UNION ALL SELECT agent_id, sequence, t + 9000, sequence + 20000000 FROM obs WHERE sequence % 4 = 0 UNION ALL SELECT agent_id, sequence, t + 12000, sequence + 30000000 FROM obs WHERE sequence % 6 = 0),
+      n AS (SELECT *, row_number() OVER (PARTITION BY agent_id, sequence ORDER BY t, id) AS k FROM m),
+      f AS (SELECT *, true AS claimed, t + 5400 AS until FROM n WHERE k = 1
+        UNION ALL SELECT n.agent_id, n.sequence, n.t, n.id, n.k, n.t >= f.until, CASE WHEN n.t >= f.until THEN n.t + 5400 ELSE f.until END FROM f JOIN n ON n.agent_id = f.agent_id AND n.sequence = f.sequence AND n.k = f.k + 1)
+      SELECT agent_id, sequence, t, id, claimed FROM f""",
+    "prefix_counts_ipv6": _q("SELECT length, 2306139568115548160::BIGINT AS hi, CAST(network - 9223372036854775808 AS BIGINT) AS lo, hot_count FROM (SELECT CAST(length + 96 AS INTEGER) AS length, network::HUGEINT AS network, hot_count FROM counts WHERE length >= 8)", *_C),
     "high_water_mark": _q("""SELECT agent_id, arg_min(last, island) AS mark, CAST(sum(size) - arg_min(size, island) AS BIGINT) AS ahead FROM (SELECT agent_id, island, max(sequence) AS last, count(*) AS size
       FROM (SELECT *, sequence - row_number() OVER (PARTITION BY agent_id ORDER BY sequence) AS island FROM (SELECT DISTINCT agent_id, sequence // 5 AS sequence FROM obs WHERE sequence % 97 <> 50)) GROUP BY ALL) GROUP BY agent_id""", _OBS),
     "coalesced_batches": _q("SELECT agent_id, sequence // 20 AS batch, ip, CAST(sum(request_count) AS BIGINT) AS request_count FROM obs GROUP BY ALL HAVING sum(request_count) > 0", _OBS),

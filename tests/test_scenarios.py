@@ -258,6 +258,24 @@ def test_ipv6_prefixes(spark):
     assert [k["k"] for k in keys] == ["1.2.3.4/32", "1.2.3.4/32", "2001:db8:1:2::/64", None]
 
 
+def test_ipv6_counts(spark):
+    import ipaddress
+
+    texts = ["2001:db8::1", "2001:db8::2", "2001:db8::ffff:1", "::1", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff"]
+    hot = spark.createDataFrame([(t,) for t in texts], "t string").select(A.parse_ipv6(F.col("t")).alias("v")).select("v.*")
+    for low in (104, 60):
+        want = {}
+        for t in texts:
+            for n in range(low, 129):
+                net = ipaddress.ip_network(f"{t}/{n}", strict=False)
+                want[str(net)] = want.get(str(net), 0) + 1
+        rows = prefixes.with_stats_ipv6(prefixes.prefix_counts_ipv6(hot, low)).orderBy("order").collect()
+        assert {r["prefix"]: r["hot_count"] for r in rows} == want
+        nets = [ipaddress.ip_network(r["prefix"]) for r in rows]
+        assert nets == sorted(nets, key=lambda x: (-x.prefixlen, int(x.network_address)))
+        assert all(r["hot_ratio"] == r["hot_count"] / int(r["capacity"]) for r in rows)
+
+
 def test_ipv4_text(spark):
     text = ["0.0.0.0", "255.255.255.255", "01.2.3.4", "1.2.3", "256.1.1.1", "1.2.3.4 ", None]
     got = [r["v"] for r in spark.createDataFrame([(t,) for t in text], "t string").select(A.parse_ipv4(F.col("t")).alias("v")).collect()]
