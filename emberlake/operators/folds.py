@@ -1,33 +1,57 @@
 """Ordered folds: state that each row changes in a way no window function expresses.
 
-A key's rows are collected in order and folded by a native aggregate, so a key's rows
-must fit a row of Spark; callers bound them by agent and period.
+Long folds (an agent's calls, a shard's lease) stream: rows are dealt by key, sorted
+within partitions, and folded as they pass in Arrow batches, so a key's rows are never
+held together. Short ones (repeats of one message) are native aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _streamed(rows: DataFrame, key: str, columns: list[str], added: list[tuple[str, str, pa.DataType]], start: Callable[[], object], step: Callable[[object, tuple], tuple[object, tuple]]) -> DataFrame:
+    """``rows`` (key, columns) in order of the columns within each key, with what ``step(state, row)`` adds to each."""
+    ordered = rows.select(key, *columns).repartition(key).sortWithinPartitions(key, *columns)
+    kinds = dict(ordered.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in (key, *columns)] + [f"{name} {kind}" for name, kind, _ in added])
+    names, types = [key, *columns, *(a[0] for a in added)], [a[2] for a in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = object(), None
+        for batch in batches:
+            out: list[tuple] = []
+            keys = batch.column(0).to_pylist()
+            for k, row in zip(keys, zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True), strict=True):
+                if k != current:
+                    current, state = k, start()
+                state, extra = step(state, row)
+                out.append(extra)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))], names=names)
+
+    return ordered.mapInArrow(run, schema)
+
+
 def token_bucket(calls: DataFrame, rate: float, burst: float, key: str = "agent_id") -> DataFrame:
     """(key, t, id, cost, allowed, tokens) from calls (key, t, id, cost), in order of (t, id).
 
     The bucket starts full and refills at ``rate`` a second up to ``burst``. A call
     passes if it can pay; one that cannot takes nothing. tokens: what is left after it.
     """
-    ordered = calls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "id", "cost"))).alias("_calls"))
-    kind = "array<struct<t:bigint,id:bigint,cost:bigint,allowed:boolean,tokens:double>>"
-    start = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(None).cast("long").alias("t"), F.array().cast(kind).alias("out"))
 
-    def step(acc, call):
-        refilled = F.least(F.lit(float(burst)), acc["tokens"] + F.coalesce(F.greatest(call["t"] - acc["t"], F.lit(0)), F.lit(0)) * F.lit(float(rate)))
-        passes = refilled >= call["cost"]
-        left = F.when(passes, refilled - call["cost"]).otherwise(refilled)
-        row = F.struct(call["t"].cast("long").alias("t"), call["id"].cast("long").alias("id"), call["cost"].cast("long").alias("cost"), passes.alias("allowed"), left.alias("tokens"))
-        return F.struct(left.alias("tokens"), F.greatest(F.coalesce(acc["t"], call["t"]), call["t"]).cast("long").alias("t"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def step(state, row):
+        tokens, last = state
+        t, _, cost = row
+        filled = min(float(burst), tokens + (max(t - last, 0) if last is not None else 0) * float(rate))
+        passes = filled >= cost
+        left = filled - cost if passes else filled
+        return (left, t if last is None else max(last, t)), (passes, left)
 
-    return ordered.select(key, F.inline(F.aggregate("_calls", start, step, lambda acc: acc["out"])))
+    return _streamed(calls, key, ["t", "id", "cost"], [("allowed", "boolean", pa.bool_()), ("tokens", "double", pa.float64())], lambda: (float(burst), None), step)
 
 
 def lease_history(requests: DataFrame, ttl: int, key: str = "shard") -> DataFrame:
@@ -36,21 +60,18 @@ def lease_history(requests: DataFrame, ttl: int, key: str = "shard") -> DataFram
     ``acquire`` is granted if nobody's lease is live or the caller holds it, and runs for
     ``ttl`` from then; ``release`` is granted to the holder of a live lease.
     """
-    ordered = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "id", "owner", "action"))).alias("_requests"))
-    kind = "array<struct<t:bigint,id:bigint,owner:string,action:string,granted:boolean>>"
-    start = F.struct(F.lit(None).cast("string").alias("owner"), F.lit(0).cast("long").alias("until"), F.array().cast(kind).alias("out"))
-
-    def step(acc, r):
-        live = acc["owner"].isNotNull() & (acc["until"] > r["t"])
-        own = live & (acc["owner"] == r["owner"])
-        acquires = r["action"] == "acquire"
-        granted = F.when(acquires, ~live | own).otherwise(own)
-        owner = F.when(granted & acquires, r["owner"]).when(granted, F.lit(None).cast("string")).otherwise(acc["owner"])
-        until = F.when(granted & acquires, r["t"] + ttl).otherwise(acc["until"]).cast("long")
-        row = F.struct(r["t"].cast("long").alias("t"), r["id"].cast("long").alias("id"), r["owner"].alias("owner"), r["action"].alias("action"), granted.alias("granted"))
-        return F.struct(owner.alias("owner"), until.alias("until"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return ordered.select(key, F.inline(F.aggregate("_requests", start, step, lambda acc: acc["out"])))
+
+    def step(state, row):
+        holder, until = state
+        t, _, owner, action = row
+        live = holder is not None and until > t
+        if action == "acquire":
+            granted = not live or holder == owner
+            return ((owner, t + ttl) if granted else state), (granted,)
+        granted = live and holder == owner
+        return ((None, until) if granted else state), (granted,)
+
+    return _streamed(requests, key, ["t", "id", "owner", "action"], [("granted", "boolean", pa.bool_())], lambda: (None, 0), step)
 
 
 def claims(messages: DataFrame, ttl: int) -> DataFrame:

@@ -10,7 +10,7 @@ from emberlake.plans import catalogue
 
 #: Queries that join a single row of totals or of the current moment.
 ONE_ROW = set("shard_gauges cold_eviction_candidates capacity_victims hot_set_current request_count_latest attribute_bytes log_positions prefix_counts prefix_counts_ipv6 prefix_stats prefix_rollup_hierarchical total_hot prefix_stats_changelog latest_prefix_stats hot_prefixes hot_prefixes_minimal classification_changes detections_since detection_gauges ancestor_counts longest_match ip_view prefix_view snapshot_plus_tail shard_merge audit_counts audit_records hot_prefix_walk".split())
-PYTHON = {"canonical_attributes", "stream_equals_batch"}
+PYTHON = {"canonical_attributes", "stream_equals_batch", "rate_limit_decisions", "lease_history"}
 
 
 def plan(df):
