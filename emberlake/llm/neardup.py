@@ -20,7 +20,7 @@
 Defined results: a null or blank text has an empty set and links with nothing; fewer
 than ``N`` words make one shingle; repeated rows and equal sets are linked; a null
 doc_id never is a component's name, unless no member has an id; other columns are
-not read.
+not read. Rows that repeat a doc_id, or have none, are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm import kernels as K
@@ -79,8 +79,13 @@ def _parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(part, minlength=256).astype(np.uint8) & 1).view(np.int64)
 
 
+def _key(of: str = "", text: Column | None = None) -> Column:
+    """What tells a row's text from others: its doc_id and the hash of the text."""
+    return F.struct(F.coalesce(F.col(f"{of}doc_id").cast("long"), F.lit(-(2**63))).alias("id"), (F.col(f"{of}text_hash") if text is None else text).alias("text"))
+
+
 def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2, parity, prefix (rare first) of each row."""
+    """doc_id, text_hash, n, s1, s2, parity, prefix (rare first) of each row."""
     spark = docs.sparkSession
 
     def count(batch: pa.RecordBatch, vector: np.ndarray) -> None:
@@ -90,13 +95,13 @@ def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
             vector += np.bincount(_cells(K.shingles(word, at, n)[0]), minlength=len(vector))
 
     rarity = spark.sparkContext.broadcast(np.minimum(count_vector(docs.select("text"), 1 << CELL_BITS, count), 2**32 - 1).astype(np.uint32))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("parity", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("parity", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = rarity.value
         for batch in batches:
             sizes, a, b, parities, prefixes = [], [], [], [], []
-            for s in _sets(batch.column(1), n):
+            for s in _sets(batch.column(2), n):
                 size = len(s)
                 keep = size - -(-percent * size // 100) + 1 if size else 0
                 sizes.append(size)
@@ -107,9 +112,9 @@ def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 prefixes.append(s[np.lexsort((s, freq[_cells(s)]))[:keep]].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(parities, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), values)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(parities, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), values)], schema=schema)
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profile, "doc_id long, n long, s1 long, s2 long, parity array<long>, prefix array<long>"), "profiles")
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(profile, "doc_id long, text_hash long, n long, s1 long, s2 long, parity array<long>, prefix array<long>"), "profiles")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -134,13 +139,15 @@ def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(marks), F.floor(bit / 64) == F.col("_slot"), "left").withColumn("_marked", F.coalesce(found, F.lit(False))).drop("_slot", "_bits")
 
 
-def _verified(pairs: DataFrame, many: int, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(u, v, link) of the pairs, from the texts of one document of each class."""
-    info = classes.select("cid", F.coalesce("first_doc", F.lit(-(2**63))).alias("_key"), "s1")
+def _verified(pairs: DataFrame, many: int, classes: DataFrame, repeated: bool, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(u, v, link) of the pairs, from the texts of one document of each class; ``repeated``: rows may share doc_id and text."""
+    info = classes.select("cid", _key("best.").alias("_key"), "s1")
     at = lambda c: info.select(F.col("cid").alias(c), F.col("_key").alias(f"key_{c}"), F.col("s1").alias(f"s_{c}"))
     placed = cut(sized(pairs.join(at("u"), "u").join(at("v"), "v"), many), "placed")
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_key"), "text")
+    own = docs.select(_key(text=F.xxhash64("text")).alias("_key"), "text")
     texts = _marked(own, placed.select(F.col("key_u").alias("_key")).union(placed.select("key_v"))).where("_marked").select("_key", "text")
+    if repeated:
+        texts = texts.groupBy("_key").agg(F.first("text").alias("text"))
     side = lambda c: texts.select(F.col("_key").alias(f"key_{c}"), F.col("text").alias(f"text_{c}"))
     joined = sized(placed.join(side("u"), "key_u").join(side("v"), "key_v"), many, PAIRS).select("u", "v", "s_u", "s_v", "text_u", "text_v")
 
@@ -150,7 +157,7 @@ def _verified(pairs: DataFrame, many: int, classes: DataFrame, docs: DataFrame,
             keep, link = [], []
             for k, (a, b) in enumerate(zip(_sets(batch.column(4), n), _sets(batch.column(5), n), strict=True)):
                 if _set_hash(a)[0] != su[k] or _set_hash(b)[0] != sv[k]:
-                    continue  # another text with the same doc_id
+                    continue  # another text with the same key
                 keep.append(k)
                 link.append(_linked(a, b, percent))
             yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.int64()), pa.array([v[k] for k in keep], pa.int64()), pa.array(link, pa.bool_())], names=["u", "v", "link"])
@@ -174,10 +181,13 @@ def _labelled(live: DataFrame, stars: DataFrame | None) -> DataFrame:
     return live.join(stars.select(F.col("u").alias("cid"), F.col("v").alias("_root")), "cid", "left").withColumn("label", F.coalesce("_root", "cid")).drop("_root")
 
 
-def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Profiles of every row; (s1, s2, component_id, best) of every set that is not empty, best being the row that stands for the component."""
     profiles = _profiles(small_batches(docs), n, percent)
-    grouped = profiles.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first_doc"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    full = profiles.where("n > 0")
+    repeated = bool(full.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").take(1))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    grouped = full.groupBy("s1", "s2", "n").agg(least.alias("best"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "sh"))
     shared = members.groupBy("sh").agg(F.count("*").alias("size")).where("size > 1")
@@ -219,31 +229,39 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
             pairs = cut(sized(raw.join(sign("u"), "u").join(sign("v"), "v").where(_may_overlap("_u", "_v", percent)).select("u", "v"), found), "pairs")
             drop(raw)
         if many := pairs.count():
-            now = _verified(pairs, many, classes, docs, n, percent)
+            now = _verified(pairs, many, classes, repeated, docs, n, percent)
             links = now.where("link").select("u", "v")
             stars = components(links if stars is None else links.union(stars))
             tested = now.select("u", "v") if tested is None else tested.union(now.select("u", "v"))
         drop(pairs, *([live] if hasattr(live, "_shared_path") else []))
         live = left.drop("label")
         live._shared_path = left._shared_path
-    named = _labelled(classes.select("cid", "s1", "s2", "first_doc"), stars)
-    names = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    found = named.join(names, "label").select("s1", "s2", "component_id")
+    named = _labelled(classes.select("cid", "s1", "s2", "best"), stars)
+    names = named.groupBy("label").agg(F.min("best").alias("best"))
+    return profiles, named.drop("best").join(names, "label").select("s1", "s2", F.col("best.doc_id").alias("component_id"), "best")
+
+
+def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    profiles, sets = _components(docs, n, percent)
+    found = sets.drop("best")
     p = profiles.select("doc_id", "n", F.col("s1").alias("_s1"), F.col("s2").alias("_s2"))
     out = p.join(found, (F.col("n") > 0) & (F.col("_s1") == F.col("s1")) & (F.col("_s2") == F.col("s2")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one it is named after; all columns."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    found = near_duplicates(docs, n, percent).groupBy(key.alias("_key")).agg(F.count("*").alias("rows"), F.count_if(named).alias("kept"))
-    found = cut(found, "kept")
-    own = _marked(docs.withColumn("_key", key), found.where("rows != 1 or kept != 1").select("_key"))
-    unsure = own.where("_marked").join(found.where("kept > 0").select(F.col("_key").alias("_kept")), F.col("_key") == F.col("_kept"), "left_semi")
-    one = unsure.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text")))).where("_nth = 1").drop("_nth")
-    return own.where("not _marked").unionByName(one).drop("_key", "_marked")
+    """One row of each component, with the doc_id it is named after, and every row with an empty set; all columns."""
+    profiles, sets = _components(docs, n, percent)
+    judged = profiles.where("n > 0").join(sets.select("s1", "s2", "best"), ["s1", "s2"]).select(_key().alias("_key"), (_key() == _key("best.")).alias("stays"))
+    found = judged.groupBy("_key").agg(F.count("*").alias("rows"), F.first("stays").alias("stays")).where("not stays or rows > 1")
+    found = cut(found, "judged")
+    own = docs.withColumn("_key", _key(text=F.xxhash64("text")))
+    marked = _marked(own, found)
+    unsure = marked.where("_marked").join(found.select("_key"), "_key", "left_anti").select(docs.columns)
+    twice = found.where("stays").select("_key")  # equal doc_id and text: one row is taken before they are moved
+    once = _marked(own, twice).where("_marked").groupBy("_key").agg(F.first(F.struct(*docs.columns)).alias("_row")).join(twice, "_key", "left_semi").select("_row.*")
+    return marked.where("not _marked").select(docs.columns).unionByName(unsure).unionByName(once)
 
 
 def op9_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -116,6 +116,17 @@ def test_near_duplicates_edges(spark):
     assert sorted(r["doc_id"] for r in rows(kept)) == [1, 2, 3, 4]  # two texts share doc_id 4: one stays
 
 
+def test_drop_keeps_one_row_of_each_component(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    texts = [f"t{k} u{k} v{k} w{k} x{k} y{k}" for k in range(12)] + [near, near + " 1", "only one", "ONLY one", "q", "q", "", "", near]
+    ids = [None] * 12 + [50, 51, 51, 52, 60, 60, None, None, None]
+    kept = rows(neardup.drop_near_duplicates(docs_frame(spark, texts, ids)))
+    want = [(None, t) for t in texts[:12]] + [(50, near), (51, "only one"), (60, "q"), (None, ""), (None, "")]
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept)) == sorted((i or 0, t) for i, t in want)
+    twins = [near + f" {k}" for k in range(30)]  # near copies without any doc_id
+    assert len(rows(neardup.drop_near_duplicates(docs_frame(spark, [*twins, *texts[:12]], [None] * 42)))) == 13
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (7, 7), (300, 250), (250, 400)]
     got = {(r["u"], r["v"]) for r in rows(cc.components(spark.createDataFrame(links, "u long, v long")))}
