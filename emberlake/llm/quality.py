@@ -8,7 +8,9 @@ weighted by inverse document frequency and reduced to ``DIMENSIONS`` by a trunca
 singular value decomposition. The sample's vectors (a few MB, whatever the corpus) are
 broadcast; every document's whole text is mapped to a vector, its cosines with all
 of them computed in blocks, and the ``NEIGHBOURS`` nearest labels averaged with their
-similarities as weights.
+similarities as weights, times the number of labelled documents that a sampled one
+stands for: a label that is cut to the sample keeps its share of the vote, so scores do
+not move with the size of the table.
 
 Only rows that are not held out (crc32 of doc_id as text, modulo 4, not 2) are learnt
 from. Defined results: a text without any run (null, empty or under three bytes) has
@@ -79,6 +81,7 @@ class Model:
     basis: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    counts: np.ndarray
 
     def latent(self, terms: np.ndarray, extra: np.ndarray) -> np.ndarray:
         z = _weighted(terms, extra, self.idf) @ self.basis
@@ -91,7 +94,7 @@ class Model:
         cosine = self.latent(terms, extra) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(np.float64)
+        weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(np.float64) * self.counts[near]
         vote = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return np.where(blank, 0.0, np.clip(vote, 0.0, 1.0))
 
@@ -102,11 +105,11 @@ def _weighted(terms: np.ndarray, extra: np.ndarray, idf: np.ndarray) -> np.ndarr
     return np.concatenate([v, np.sqrt(extra)], axis=1).astype(np.float32)
 
 
-def train(terms: np.ndarray, extra: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
-    """Truncated decomposition by subspace iteration from a seeded start."""
+def train(terms: np.ndarray, extra: np.ndarray, labels: np.ndarray, counts: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
+    """Truncated decomposition by subspace iteration from a seeded start; ``counts``: how many documents each row stands for."""
     idf = (np.log((1 + len(labels)) / (1 + (terms > 0).sum(axis=0))) + 1).astype(np.float32)
     if not len(labels):
-        return Model(idf, np.zeros((TERMS + 3, 1), np.float32), np.zeros((0, 1), np.float32), labels)
+        return Model(idf, np.zeros((TERMS + 3, 1), np.float32), np.zeros((0, 1), np.float32), labels, counts)
     v = _weighted(terms, extra, idf)
     used = np.flatnonzero(v.any(axis=0))
     small = v[:, used].astype(np.float64)
@@ -116,7 +119,7 @@ def train(terms: np.ndarray, extra: np.ndarray, labels: np.ndarray, dimensions:
         q = np.linalg.qr(small.T @ (small @ q))[0]
     basis = np.zeros((v.shape[1], dims), np.float32)
     basis[used] = q
-    model = Model(idf, basis, np.zeros((0, dims), np.float32), labels.astype(np.float64))
+    model = Model(idf, basis, np.zeros((0, dims), np.float32), labels.astype(np.float64), counts)
     model.vectors = model.latent(terms, extra)
     return model
 
@@ -129,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of a bounded sample: ``sample`` labelled documents of each label at most."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_label"))
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("_id")).distinct(), "_id", "left_semi")
+    totals = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}  # two rows
     by_hash = [F.xxhash64("_id", F.lit(1)), F.col("_id")]
     chosen = known.where("_label = 1").orderBy(*by_hash).limit(sample).union(known.where("_label = 0").orderBy(*by_hash).limit(sample))
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id").select("_id", "_label", "text")  # 2 * sample rows
@@ -148,7 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for k, r in enumerate(got):
         terms[k, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["share"], np.float32)
     extra = np.array([np.frombuffer(r["extra"], np.float32) for r in got], np.float32).reshape(len(got), 3)
-    return train(terms, extra, np.array([r["_label"] for r in got], np.float64))
+    label = np.array([r["_label"] for r in got], np.int64)
+    stands_for = np.array([totals.get(x, 0) / max(1, np.count_nonzero(label == x)) for x in (0, 1)])
+    return train(terms, extra, label.astype(np.float64), stands_for[label])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

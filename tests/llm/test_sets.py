@@ -215,3 +215,13 @@ def test_quality_edges(spark, sf_dir):
     assert quality.op3_quality(docs.limit(0), labels).count() == 0
     kept = quality.keep_good(docs, labels.withColumn("extra", F.lit(1)))
     assert kept.columns == docs.columns and kept.count() <= 15
+
+
+def test_quality_scores_do_not_move_with_the_sample(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abAB01 .,!-") for _ in range(60)) for _ in range(1500)]
+    docs = docs_frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.85)) for i in range(1500)], "doc_id long, quality int")  # the label does not depend on the text
+    mean = lambda sample: np.mean([r["score"] for r in rows(quality.score(docs, quality.fit(docs, labels, sample)))])
+    whole, cut = mean(2048), mean(150)
+    assert abs(whole - 0.85) < 0.08 and abs(cut - whole) < 0.08
