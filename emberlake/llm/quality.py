@@ -1,8 +1,9 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are runs of three character classes (letters by case, digits, blanks, single
-marks), so they do not depend on a language's words; three shares of repeated words,
-runs of three words and neighbours that are equal join them. On a sample of labelled
+Terms are words (lower-cased, between blanks) and pairs of characters of three bytes
+(scripts that set no blanks), by their hashes in ``VOCABULARY`` cells, and beside them
+runs of three character classes (letters by case, digits, blanks, single marks); three
+shares of repeated words, runs of three words and neighbours that are equal join them. On a sample of labelled
 documents, ``SAMPLE`` of each label at most, chosen by a hash of doc_id, the terms are
 weighted by inverse document frequency and reduced to ``DIMENSIONS`` by a truncated
 singular value decomposition. The sample's vectors (a few MB, whatever the corpus) are
@@ -35,7 +36,11 @@ SAMPLE = 2048
 DIMENSIONS = 48
 NEIGHBOURS = 15
 THRESHOLD = 0.7
-TERMS = 16**3
+RUNS = 16**3
+#: Cells of words and character pairs; 2**VOCABULARY_BITS.
+VOCABULARY_BITS = 12
+VOCABULARY = 1 << VOCABULARY_BITS
+TERMS = RUNS + VOCABULARY
 #: Documents whose cosines are computed at once.
 ROWS = 256
 
@@ -57,20 +62,33 @@ def _repeats(word: np.ndarray) -> tuple[float, float, float]:
     return float(np.mean(word[1:] == word[:-1])), 1 - len(np.unique(word)) / n, 1 - len(np.unique(run)) / len(run)
 
 
+def _pairs(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and cells of the pairs of three-byte characters."""
+    lead = np.flatnonzero((d[:-5] & 0xF0 == 0xE0) & (d[3:-2] & 0xF0 == 0xE0)) if len(d) > 5 else np.zeros(0, np.int64)
+    value = np.zeros(len(lead), np.uint64)
+    for k in range(6):
+        value = value << np.uint64(8) | d[lead + k]
+    return lead, (K.mix(value) >> np.uint64(64 - VOCABULARY_BITS)).astype(np.int64)
+
+
 def features(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Term shares (rows x TERMS) and repetition shares (rows x 3), in blocks of rows."""
     data, offs = K.utf8(column)
     for lo, hi, d, o in K.blocks(data, offs):
         word, _, at = K.words(d, o, K.WORD_NOT_SPACE)
         kind = _CLASS[d].astype(np.int64)
+        cell = (word >> np.uint64(64 - VOCABULARY_BITS)).astype(np.int64)
+        place, pair = _pairs(d)
+        from_, to = np.searchsorted(place, o[:-1]), np.searchsorted(place, o[1:] - 5)  # a pair never crosses documents
         for a in range(0, hi - lo, ROWS):
             b = min(a + ROWS, hi - lo)
             terms, extra = np.zeros((b - a, TERMS), np.float32), np.zeros((b - a, 3), np.float32)
             for i in range(a, b):
                 x = kind[o[i] : o[i + 1]]
                 if len(x) >= 3:
-                    terms[i - a] = np.bincount(x[:-2] * 256 + x[1:-1] * 16 + x[2:], minlength=TERMS)
-                    terms[i - a] /= len(x) - 2
+                    terms[i - a, :RUNS] = np.bincount(x[:-2] * 256 + x[1:-1] * 16 + x[2:], minlength=RUNS) / (len(x) - 2)
+                    said = np.concatenate([cell[at[i] : at[i + 1]], pair[from_[i] : max(from_[i], to[i])]])
+                    terms[i - a, RUNS:] = np.bincount(said, minlength=VOCABULARY) / max(1, len(said))
                     extra[i - a] = _repeats(word[at[i] : at[i + 1]])
             yield terms, extra
 
@@ -100,9 +118,13 @@ class Model:
 
 
 def _weighted(terms: np.ndarray, extra: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.sqrt(terms) * idf
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    return np.concatenate([v, np.sqrt(extra)], axis=1).astype(np.float32)
+    """Rows of the term matrix: runs and vocabulary each of length 1, and the repetitions."""
+    v = np.empty((len(terms), TERMS + 3), np.float32)
+    np.multiply(np.sqrt(terms), idf, out=v[:, :TERMS])
+    for part in (v[:, :RUNS], v[:, RUNS:TERMS]):
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
+    np.sqrt(extra, out=v[:, TERMS:])
+    return v
 
 
 def train(terms: np.ndarray, extra: np.ndarray, labels: np.ndarray, counts: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
@@ -110,17 +132,19 @@ def train(terms: np.ndarray, extra: np.ndarray, labels: np.ndarray, counts: np.n
     idf = (np.log((1 + len(labels)) / (1 + (terms > 0).sum(axis=0))) + 1).astype(np.float32)
     if not len(labels):
         return Model(idf, np.zeros((TERMS + 3, 1), np.float32), np.zeros((0, 1), np.float32), labels, counts)
-    v = _weighted(terms, extra, idf)
-    used = np.flatnonzero(v.any(axis=0))
-    small = v[:, used].astype(np.float64)
+    used = np.flatnonzero(np.concatenate([terms.any(axis=0), extra.any(axis=0)]))
+    small = np.empty((len(labels), len(used)), np.float32)
+    blocks = [slice(k, k + ROWS) for k in range(0, len(labels), ROWS)]
+    for b in blocks:
+        small[b] = _weighted(terms[b], extra[b], idf)[:, used]
     dims = max(1, min(dimensions, len(used), len(labels)))
-    q = np.linalg.qr(np.random.default_rng(7).standard_normal((len(used), dims)))[0]
+    q = np.linalg.qr(np.random.default_rng(7).standard_normal((len(used), dims)))[0].astype(np.float32)
     for _ in range(8):
         q = np.linalg.qr(small.T @ (small @ q))[0]
-    basis = np.zeros((v.shape[1], dims), np.float32)
+    basis = np.zeros((TERMS + 3, dims), np.float32)
     basis[used] = q
     model = Model(idf, basis, np.zeros((0, dims), np.float32), labels.astype(np.float64), counts)
-    model.vectors = model.latent(terms, extra)
+    model.vectors = np.concatenate([model.latent(terms[b], extra[b]) for b in blocks])
     return model
 
 

@@ -225,3 +225,14 @@ def test_quality_scores_do_not_move_with_the_sample(spark):
     mean = lambda sample: np.mean([r["score"] for r in rows(quality.score(docs, quality.fit(docs, labels, sample)))])
     whole, cut = mean(2048), mean(150)
     assert abs(whole - 0.85) < 0.08 and abs(cut - whole) < 0.08
+
+
+@pytest.mark.parametrize("good, bad", [("able also back been call came", "jail kill lose mess nope ouch"), ("дом лес мир сад сон мёд", "ад яд зло суд бой вор"), ("你好世界山水花鸟风月", "坏假骗毒死鬼恶贼脏臭")])
+def test_quality_reads_words(spark, good, bad):
+    rng = random.Random(9)
+    parts = [x.split() if " " in x else list(x) for x in (bad, good)]
+    blank = " " if " " in good else ""
+    wanted = [k % 2 for k in range(400)]
+    docs = docs_frame(spark, [blank.join(rng.choice(parts[y]) for _ in range(40)) for y in wanted])
+    got = {r["doc_id"]: r for r in rows(quality.op3_quality(docs, spark.createDataFrame(list(enumerate(wanted)), "doc_id long, quality int")))}
+    assert np.mean([got[i]["predicted"] == y for i, y in enumerate(wanted) if got[i]["held_out"]]) >= 0.95
