@@ -10,9 +10,11 @@ own. Below ``IMPORTANCE``, on ``MIN_PAGES`` pages or more, the branch is removed
 
 Before that, what its element names as no part of an article goes (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments); if a
-page marks its article (article, main), only that is kept. Paragraphs, headings and
-list items directly in the marked article are never removed by importance alone, and
-a page that importance would leave empty keeps what was there.
+page marks its article (article, main), only that is kept. There the paragraphs,
+headings and list items of one path are not judged together, as one that all pages
+repeat stands among others that vary: each text is a node of its own, on all pages with
+the path, and a page without the text counts as showing its own. A page that importance
+would leave empty keeps what was there.
 
 Statistics are a row for each page and node, counted in Spark; a host's removed nodes
 are few, as each must be on a tenth of the host's pages. Pages are parsed twice; no
@@ -203,7 +205,7 @@ def kept(blocks: list[Block], removed: frozenset[int] = frozenset()) -> list[str
     left = [b for b in blocks if not b.skip and not _in_page_header(b)]
     if any(b.main for b in left):
         left = [b for b in left if b.main]
-    pruned = [b for b in left if b.main and b.tag in TEXT or node(b.path) not in removed] if removed else left
+    pruned = [b for b in left if node(own_path(b) or b.path) not in removed] if removed else left
     return [b.text for b in pruned or left]
 
 
@@ -211,28 +213,38 @@ def node(path: str) -> int:
     return xxhash.xxh64_intdigest(path.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def own_path(block: Block) -> str:
+    """The path of a text of the marked article that is judged by itself, else nothing."""
+    return f"{block.path}\n{block.text}" if block.main and block.tag in TEXT else ""
+
+
 _NODE = "host long, page long, node long, shape long, content long"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page hash, html) to a row for each node with text."""
+    """(host, page hash, html) to a row for each node with text; a text judged by itself has no shape, and its path's node as content."""
     for batch in batches:
         rows: list[tuple] = []
         for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             own: dict[str, tuple[list[str], list[str]]] = {}
+            single: dict[str, str] = {}
             for b in parse(text.as_py() or ""):
                 if not b.skip:  # what goes by name needs no statistics
                     shapes, texts = own.setdefault(b.path, ([], []))
                     shapes.append(b.shape)
                     texts.append(b.text)
+                    if path := own_path(b):
+                        single[path] = b.path
             rows += [(host, page, node(path), node("|".join(s)), node("\n".join(t))) for path, (s, t) in own.items()]
+            rows += [(host, page, node(path), None, node(up)) for path, up in single.items()]
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["host", "page", "node", "shape", "content"])
 
 
 def node_importance(pages: DataFrame) -> DataFrame:
     """(host, node, pages, importance) over each host's distinct pages."""
     rows = pages.select(F.xxhash64(host_of(F.col("url"))).alias("host"), F.xxhash64("html").alias("page"), "html").mapInArrow(_nodes, _NODE)
-    seen = cut(rows.dropDuplicates(["host", "page", "node"]).select("host", "node", "shape", "content"), "style-nodes")
+    every = cut(rows.dropDuplicates(["host", "page", "node"]).select("host", "node", "shape", "content"), "style-nodes")
+    seen = every.where("shape is not null")
 
     def entropy(value: str) -> DataFrame:
         """Entropy to the base of the page count, from how many pages share each value."""
@@ -240,8 +252,12 @@ def node_importance(pages: DataFrame) -> DataFrame:
         return counts.groupBy("host", "node").agg(F.sum("_k").alias("pages"), F.sum(F.col("_k") * F.ln("_k")).alias("_s")).select(
             "host", "node", "pages", F.when(F.col("pages") > 1, 1 - F.col("_s") / (F.col("pages") * F.ln("pages"))).otherwise(1.0).alias(f"_{value}"))
 
-    both = entropy("content").join(entropy("shape").drop("pages"), ["host", "node"])
-    return both.select("host", "node", "pages", (CONTENT * F.col("_content") + (1 - CONTENT) * F.col("_shape")).alias("importance"))
+    contents = entropy("content")
+    both = contents.join(entropy("shape").drop("pages"), ["host", "node"])
+    shared = every.where("shape is null").groupBy("host", "node", F.col("content").alias("up")).agg(F.count("*").alias("_k")).where("_k > 1")
+    single = shared.join(contents.select("host", F.col("node").alias("up"), "pages"), ["host", "up"])
+    judged = single.select("host", "node", F.col("_k").alias("pages"), (1 - F.col("_k") * F.ln("_k") / (F.col("pages") * F.ln("pages"))).alias("importance"))
+    return both.select("host", "node", "pages", (CONTENT * F.col("_content") + (1 - CONTENT) * F.col("_shape")).alias("importance")).union(judged)
 
 
 def removed_nodes(pages: DataFrame, importance: float = IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -153,6 +153,15 @@ def test_site_tree_removes_repeated_branches(spark):
     assert (got[14]["text"], got[15]["text"], got[14]["n_chars"]) == ("", "", 0)
 
 
+def test_site_tree_judges_texts_of_a_marked_article(spark):
+    page = lambda i: f"<body><article><h1>Head {i}</h1>" + "".join(f"<p>Body {i} {k}</p>" for k in range(i % 4)) + f"<p>Sign up today</p><p>Body {i} end</p><ul><li>Point {i}</li><li>Buy now</li></ul></article></body>"
+    pairs = [(f"http://h.com/{i}", page(i)) for i in range(12)] + [("http://one.com/", page(2)), ("http://h.com/only", "<article><p>Buy now</article>")]
+    got = {r["page_id"]: r["text"].split("\n") for r in rows(sitetree.op7_html(pages_frame(spark, pairs)))}
+    for i in range(12):
+        assert got[i] == [f"Head {i}", *(f"Body {i} {k}" for k in range(i % 4)), f"Body {i} end", f"Point {i}"]
+    assert got[12] == ["Head 2", "Body 2 0", "Body 2 1", "Sign up today", "Body 2 end", "Point 2", "Buy now"] and got[13] == ["Buy now"]
+
+
 def test_pages_of_test_data(spark, sf_dir):
     import re
     from html import unescape
