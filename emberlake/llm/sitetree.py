@@ -16,10 +16,10 @@ repeat stands among others that vary: each text is a node of its own, on all pag
 the path, and a page without the text counts as showing its own. A page that importance
 would leave empty keeps what was there.
 
-Statistics are a row for each page and node, counted in Spark; a host's removed nodes
-are few, as each must be on a tenth of the host's pages. Pages are parsed twice; no
-html is shuffled unless the list of removed nodes is too large to broadcast, and then
-Spark may split a host with many pages.
+Statistics are a row for each page and node, counted in Spark; so are the removed nodes,
+however many a host has, and a page is handed only those it has itself. Pages are parsed
+twice; no html is shuffled unless the lists of removed nodes are too large to broadcast,
+and then by page, not by host.
 
 Defined results: a null or empty html gives an empty text; a null url is a page of the
 host ''; repeated pages count once in the statistics; broken markup is read like a
@@ -45,8 +45,8 @@ IMPORTANCE = 0.1
 MIN_PAGES = 5
 #: Weight of the content entropy against that of the presentation.
 CONTENT = 0.9
-#: A removed node is on one page of this many, at least.
-SPREAD = 10
+#: Parts that a node's pages are dealt to when they meet the removed nodes.
+SALTS = 32
 
 # Element names of HTML, and words that name what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -240,10 +240,14 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["host", "page", "node", "shape", "content"])
 
 
-def node_importance(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) over each host's distinct pages."""
+def style_nodes(pages: DataFrame) -> DataFrame:
+    """(host, page, node, shape, content) of each host's distinct pages."""
     rows = pages.select(F.xxhash64(host_of(F.col("url"))).alias("host"), F.xxhash64("html").alias("page"), "html").mapInArrow(_nodes, _NODE)
-    every = cut(rows.dropDuplicates(["host", "page", "node"]).select("host", "node", "shape", "content"), "style-nodes")
+    return cut(rows.dropDuplicates(["host", "page", "node"]), "style-nodes")
+
+
+def node_importance(every: DataFrame) -> DataFrame:
+    """(host, node, pages, importance) from the style nodes."""
     seen = every.where("shape is not null")
 
     def entropy(value: str) -> DataFrame:
@@ -261,27 +265,24 @@ def node_importance(pages: DataFrame) -> DataFrame:
 
 
 def removed_nodes(pages: DataFrame, importance: float = IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, removed): the node ids that go, by host; at most SPREAD times the nodes of a page."""
-    stats = cut(node_importance(pages), "importance")
-    most = stats.groupBy("host").agg(F.max("pages").alias("_most"))
-    low = stats.where(F.col("importance") < importance).where(F.col("pages") >= min_pages).join(most, "host").where(F.col("pages") * SPREAD >= F.col("_most"))
-    return low.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("removed"))
+    """(host, page, removed): the node ids that go, by page; never more than the page has."""
+    every = style_nodes(pages)
+    low = cut(node_importance(every).where(F.col("importance") < importance).where(F.col("pages") >= min_pages).select("host", "node"), "removed")
+    dealt = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = every.select("host", "page", "node", F.pmod("page", F.lit(SALTS)).cast("int").alias("salt"))
+    return salted.join(dealt, ["host", "node", "salt"]).groupBy("host", "page").agg(F.collect_list("node").alias("removed"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    gone = removed_nodes(pages).select(F.col("host").alias("_host"), "removed")
-    rows = pages.select("page_id", "url", "html").join(gone, F.xxhash64(host_of(F.col("url"))) == F.col("_host"), "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "removed")
+    gone = cut(removed_nodes(pages).select(F.col("host").alias("_host"), F.col("page").alias("_page"), "removed"), "removed-by-page")
+    rows = pages.select("page_id", "url", "html").join(gone, (F.xxhash64(host_of(F.col("url"))) == F.col("_host")) & (F.xxhash64("html") == F.col("_page")), "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "removed")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset[int]] = {}
         for batch in batches:
             texts = []
             for page, gone_ in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                ids = tuple(gone_ or ())
-                if len(sets) > 1000:
-                    sets.clear()
-                texts.append("\n".join(kept(parse(page.as_py() or ""), sets.setdefault(ids, frozenset(ids)))))
+                texts.append("\n".join(kept(parse(page.as_py() or ""), frozenset(gone_ or ()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(extract, "page_id long, url string, text string, n_chars long")

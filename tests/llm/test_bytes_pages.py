@@ -162,6 +162,14 @@ def test_site_tree_judges_texts_of_a_marked_article(spark):
     assert got[12] == ["Head 2", "Body 2 0", "Body 2 1", "Sign up today", "Body 2 end", "Point 2", "Buy now"] and got[13] == ["Buy now"]
 
 
+def test_site_tree_cleans_every_section_of_a_host(spark):
+    letter = "abcdefghijklmnopqrst"
+    page = lambda s, i: f'<body><div class="all"><p>Body {s} {i}</p></div><div class="x{letter[s]}">Legal text {letter[s]}</div></body>'
+    pairs = [(f"http://h.com/{s}/{i}", page(s, i)) for s in range(20) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in rows(sitetree.op7_html(pages_frame(spark, pairs)))}
+    assert [got[k] for k in range(120)] == [f"Body {s} {i}" for s in range(20) for i in range(6)]
+
+
 def test_pages_of_test_data(spark, sf_dir):
     import re
     from html import unescape
