@@ -127,6 +127,16 @@ def test_link_propagation(spark):
     assert linkgraph.op1_url_filter(pages_frame(spark, pages).limit(0)).count() == 0
 
 
+def test_long_chains_and_cycles_converge(spark):
+    hosts = [f"h{k}.net" for k in range(24)] + ["bad.com"]
+    pages = [(f"http://{a}/de/", f'<a href="http://{b}/">x</a>') for a, b in zip(hosts, hosts[1:], strict=False)] + [("http://bad.com/de/", "")]
+    got = {r["host"]: r for r in rows(linkgraph.op1_url_filter(pages_frame(spark, pages)))}
+    assert got["h0.net"]["verdict"] == "block" and got["h0.net"]["distrust"] == pytest.approx(0.15 * 0.85**24)
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, links long")
+    ranks = {r["host"]: r["value"] for r in rows(linkgraph.propagate(edges, spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, value double")))}
+    assert ranks == pytest.approx({"a": 1 / 1.85, "b": 0.85 / 1.85}, abs=1e-5)
+
+
 # ---- pages
 def test_parse_cases():
     text = lambda h: "\n".join(sitetree.kept(sitetree.parse(h)))
