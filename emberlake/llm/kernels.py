@@ -32,20 +32,37 @@ WORD_ALNUM[0x30:0x3A] = WORD_ALNUM[0x61:0x7B] = WORD_ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: A second base and second byte values, for hashes that fail independently of the first.
+_BASE2 = 0xD1342543DE82EF95
+_INVERSE2 = pow(_BASE2, -1, 1 << 64)
+_BYTE2 = np.random.default_rng(71).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
 
+_powers: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {0: {}, 1: {}}
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _power_tables(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
+    if size not in _powers[which]:
+        _powers[which].clear()
         out = []
-        for base in (_BASE, _INVERSE):
+        for base in ((_BASE, _INVERSE), (_BASE2, _INVERSE2))[which]:
             table = np.full(size, base, np.uint64)
             table[0] = 1
             out.append(np.multiply.accumulate(table))
-        _powers[size] = tuple(out)
-    return _powers[size]
+        _powers[which][size] = tuple(out)
+    return _powers[which][size]
+
+
+def prefix_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
+    """Polynomial sums of symbol values, from which ``run_hashes`` takes the hash of any run."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power_tables(len(values) + 1, which)[0][: len(values)], out=total[1:])
+    return total
+
+
+def run_hashes(total: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of the symbols from ``begin`` to ``end``."""
+    return mix((total[end] - total[begin]) * _power_tables(len(total), which)[1][begin])
 
 
 def mix(h: np.ndarray) -> np.ndarray:

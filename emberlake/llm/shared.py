@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,12 +51,23 @@ def sized(df: DataFrame, rows: int, per_task: int = 20_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // per_task)))
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, after telling the session to hand whole texts to Python in batches of so many rows at most."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches that Spark hands over (it bounds their bytes) in pieces of so many rows at most."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def own_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """A column name for each of ``names`` that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = {}
+    for name in names:
+        own = f"_own_{name}"
+        while own in taken:
+            own = f"_{own}"
+        out[name] = own
+    return out
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
