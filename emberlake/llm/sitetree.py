@@ -1,36 +1,44 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged into one tree of style nodes: elements are the same
-node if their path of tags, classes and ids is the same (digits counting alike). For
+node if their chain of tags, classes and ids is the same (digits counting alike). For
 each node with text of its own, over the host's distinct pages that have it, two
 entropies are taken to the base of their number: of the presentations (sequences of
-inline and child elements) and of the contents (texts). Their weighted mean is the
-node's importance: near 0 where all pages show the same, near 1 where each shows its
-own. Below ``IMPORTANCE``, on ``MIN_PAGES`` pages or more, the branch is removed.
+child elements) and of the contents (texts). Their weighted mean is the node's
+importance: near 0 where all pages show the same, near 1 where each shows its own.
+Below it hang the texts themselves: as paragraphs, headings and list items of one
+chain stand together, one that nearly all pages repeat may stand among others that
+vary. A text's importance is the entropy of having it or something of one's own.
+
+A branch is as important as the most important node or text in it, so importance is
+carried up from the leaves: a branch goes, with all that is in it, if everything in it
+is below ``IMPORTANCE`` on ``MIN_PAGES`` pages or more. (So where a parent's own text
+goes and a child varies, the child stays.) That holds inside a marked article as well.
+A page that importance would leave empty keeps what was there.
 
 Before that, what its element names as no part of an article goes (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments); if a
-page marks its article (article, main), only that is kept. There the paragraphs,
-headings and list items of one path are not judged together, as one that all pages
-repeat stands among others that vary: each text is a node of its own, on all pages with
-the path, and a page without the text counts as showing its own. A page that importance
-would leave empty keeps what was there.
+page marks its article (article, main), only that is kept. A class or id counts as a
+name of such a part only if all its words do ("site-footer", not "has-sidebar" or
+"social-science"), and never on what also names itself content or marks the article.
 
 Statistics are a row for each page and node, counted in Spark; so are the removed nodes,
 however many a host has, and a page is handed only those it has itself. Pages are parsed
-twice; no html is shuffled unless the lists of removed nodes are too large to broadcast,
-and then by page, not by host.
+twice, in time linear in their length; no html is shuffled unless the lists of removed
+nodes are too large to broadcast, and then by page, not by host.
 
 Defined results: a null or empty html gives an empty text; a null url is a page of the
 host ''; repeated pages count once in the statistics; broken markup is read like a
 browser would in simple cases: a block closes an open paragraph, an end tag without a
-start is ignored, text in an unknown element counts.
+start is ignored, text in an unknown element counts, what looks like a tag but never
+ends is text.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm.linkgraph import host_of
-from emberlake.llm.shared import cut
+from emberlake.llm.shared import cut, drop, sliced
 
 IMPORTANCE = 0.1
 MIN_PAGES = 5
@@ -54,41 +62,67 @@ RAW = frozenset("script style textarea title iframe noscript template svg math o
 HEAD = frozenset("head title meta link style script base noscript template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt tr figcaption".split())
 DROPPED = frozenset("head nav footer aside form menu dialog button input search label fieldset".split())
 NAMED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget"
     " notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login search social share sharing related recommended comment comments reply replies respond disqus discussion pagination pager toolbar skip form hidden".split()
 )
+#: Words that say where or whose a part is, beside what it is.
+BESIDE = frozenset("main site page global top bottom left right primary secondary block box container wrapper wrap list section area bar link links item items inner outer user reader blog mobile desktop sticky fixed floating the in on text post article entry".split())
+CONTENT_NAMES = frozenset("content article story post entry".split())
+COMMENTS = frozenset("comment comments reply replies".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table ul ol dl article section div main body html td th li".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)|[^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRS = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
+
+
+def node(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _under(parent: int, name: str) -> int:
+    """The style node below ``parent``; a number, so deep trees cost no more than flat ones."""
+    return node(f"{parent}/{name}")
 
 
 class _Frame:
-    __slots__ = ("tag", "path", "skip", "main", "head", "children")
+    """An open element. skip: the tag of the outermost element that drops it, or nothing; p_at: where the paragraph is that a block would close, or -1."""
+
+    __slots__ = ("tag", "node", "skip", "main", "head", "header", "owner", "p_at", "shape")
 
-    def __init__(self, tag: str, path: str, skip: bool, main: bool, head: bool):
-        self.tag, self.path, self.skip, self.main, self.head, self.children = tag, path, skip, main, head, []
+    def __init__(self, tag: str, of: int, up: _Frame | None, at: int, skip: str = "", main: bool = False):
+        self.tag, self.node, self.skip, self.main, self.shape = tag, of, skip, main, 0
+        self.head = up is not None and up.head or tag == "head"
+        self.header = up is not None and up.header or tag == "header"
+        self.owner = self if up is None or tag in BLOCK else up.owner
+        self.p_at = at if tag == "p" else -1 if up is None or tag in SCOPE else up.p_at
 
 
 class Block:
-    """Text of one block element."""
+    """A text of a block element: its style node, and what its element shows before it."""
 
-    __slots__ = ("path", "tag", "text", "skip", "main", "shape")
+    __slots__ = ("node", "text", "main", "shape")
 
-    def __init__(self, frame: _Frame, text: str, skip: bool, shape: str):
-        self.path, self.tag, self.text, self.skip, self.main, self.shape = frame.path, frame.tag, text, skip, frame.main, shape
+    def __init__(self, frame: _Frame, text: str):
+        self.node, self.text, self.main, self.shape = frame.node, text, frame.main, frame.shape
+
+
+def _names_no_article(token: str) -> bool:
+    words = set(_WORDS.findall(token))
+    return bool(words & NAMED) and words <= NAMED | BESIDE and not ("header" in words and words & CONTENT_NAMES)
 
 
 def _style(tag: str, attrs: str) -> tuple[str, bool, bool]:
     """Style of an element; whether its names say it is no article; whether they say it is."""
+    main, skip = tag in ("article", "main"), tag in DROPPED
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return tag, tag in DROPPED, tag in ("article", "main")
-    names, marks, main, skip = [], set(), tag in ("article", "main"), tag in DROPPED
+        return tag, skip, main
+    names, tokens = [], []
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden":
@@ -100,143 +134,142 @@ def _style(tag: str, attrs: str) -> tuple[str, bool, bool]:
             main |= value == "articlebody"
             skip |= value == "comment"
         else:
-            names += [key[0] + re.sub(r"[0-9]+", "0", x) for x in value.split()]
-            marks |= set(_WORDS.findall(value))
-    return f"{tag}.{'.'.join(sorted(names))}" if names else tag, skip or bool(marks & NAMED) and tag not in ("html", "body"), main
+            names += [key[0] + _DIGITS.sub("0", x) for x in value.split()]
+            tokens += value.split()
+    if tag not in ("html", "body"):
+        says = [t for t in tokens if _names_no_article(t)]
+        skip |= any(COMMENTS & set(_WORDS.findall(t)) for t in says) if main else bool(says) and not CONTENT_NAMES & set(tokens)
+    return f"{tag}.{'.'.join(sorted(names))}" if names else tag, skip, main
 
 
 def parse(page: str) -> list[Block]:
-    """The blocks of text of a page, in order, with their paths."""
-    stack = [_Frame("", "", False, False, False)]
+    """The blocks of text of a page that no name drops, in order, with their style nodes."""
+    root = _Frame("", 0, None, 0)
+    stack = [root]
+    opened: dict[str, int] = {}
     blocks: list[Block] = []
     pieces: list[str] = []
-    shape: list[str] = []
-
-    def owner() -> _Frame:
-        for f in reversed(stack):
-            if f.tag in BLOCK or not f.tag:
-                return f
-        return stack[0]
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(pieces)).split())
-        if text:
-            f = owner()
-            blocks.append(Block(f, text, any(x.skip for x in stack), "".join(shape)))
-        pieces.clear()
-        shape.clear()
+        if pieces:
+            text = " ".join(entities.unescape("".join(pieces)).split())
+            pieces.clear()
+            f = stack[-1].owner
+            if text and not (f.header and f.tag not in HEADINGS):
+                blocks.append(Block(f, text))
 
     def pop_to(k: int) -> None:
         if any(f.tag in BLOCK for f in stack[k:]):
             flush()
+        for f in stack[k:]:
+            opened[f.tag] -= 1
         del stack[k:]
 
-    at, low = 0, None
-    end = len(page)
+    at, end, last, quoted = 0, len(page), page.rfind(">"), True
     while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            if not stack[-1].skip:
+        top = stack[-1]
+        lt = page.find("<", at, last) if at <= last else -1
+        if lt < 0:
+            if not top.skip:
                 pieces.append(page[at:])
             break
-        if m.start() > at and not stack[-1].skip:
-            pieces.append(page[at : m.start()])
-        at = m.end()
-        closing, opening, attrs = m.groups()
-        if closing:
-            tag = closing.lower()
+        if lt > at and not top.skip:
+            pieces.append(page[at:lt])
+        mark = page[lt + 1]
+        if mark in "!?":
+            k = page.find("-->", lt + 4) if page.startswith("<!--", lt) else page.find(">", lt)
+            at = end if k < 0 else k + (3 if page.startswith("<!--", lt) else 1)
+            continue
+        name = _NAME.match(page, lt + 1 + (mark == "/"))
+        if not name:
+            if not top.skip:
+                pieces.append("<")
+            at = lt + 1
+            continue
+        tag = name.group().lower()
+        if mark == "/":
+            at = page.find(">", name.end()) + 1
+            if opened.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                pop_to(k)
+            continue
+        m = _ATTRS.match(page, name.end()) if quoted else None
+        if m:
+            attrs, at = m.group(1), m.end()
+        else:  # a quote that never ends: from here on quotes do not hide the end of a tag
+            quoted, k = False, page.find(">", name.end())
+            attrs, at = page[name.end() : k], k + 1
+        if tag in RAW:
+            found = re.compile(f"</{tag}", re.I).search(page, at)
+            stop = page.find(">", found.end()) if found else -1
+            at = end if stop < 0 else stop + 1
+            if tag in BLOCK:
+                flush()
+            continue
+        if top.head and tag not in HEAD:
+            k = len(stack)
+            while stack[k - 1].head:
+                k -= 1
+            pop_to(k)
+        if tag in ("br", "td", "th") and not stack[-1].skip:
+            pieces.append(" ")
+        if tag in BLOCK:
+            flush()
+            if stack[-1].p_at >= 0:
+                pop_to(stack[-1].p_at)
+        if tag in CLOSED_BY and any(opened.get(t) for t in CLOSED_BY[tag]):
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
+                if stack[k].tag in CLOSED_BY[tag]:
                     pop_to(k)
                     break
-        elif opening:
-            tag = opening.lower()
-            if tag in RAW:
-                low = page.lower() if low is None else low
-                k = low.find(f"</{tag}", at)
-                if k < 0 or len(low) != end:
-                    k = m2.start() if (m2 := re.compile(f"</{tag}", re.I).search(page, at)) else end
-                stop = page.find(">", k)
-                at = end if k >= end or stop < 0 else stop + 1
-                if tag in BLOCK:
-                    flush()
-                continue
-            if stack[-1].head and tag not in HEAD:
-                while any(f.head for f in stack):
-                    stack.pop()
-            if tag in ("br", "td", "th"):
-                pieces.append(" ")
-            if tag in BLOCK:
-                flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        pop_to(k)
-                        break
-                    if stack[k].tag in SCOPE:
-                        break
-            if tag in CLOSED_BY:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in CLOSED_BY[tag]:
-                        pop_to(k)
-                        break
-                    if stack[k].tag in ("ul", "ol", "dl", "table"):
-                        break
-            if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
-                shape.append(tag[0])
-                continue
-            style, skip, main = _style(tag, attrs)
-            up = stack[-1]
-            if tag == "header":
-                skip = skip or not up.main
-            if tag not in BLOCK:
-                shape.append(tag[0])
-            stack.append(_Frame(tag, f"{up.path}/{style}", skip or up.skip, (main or up.main) and not skip, up.head or tag == "head"))
+                if stack[k].tag in ("ul", "ol", "dl", "table"):
+                    break
+        up = stack[-1]
+        style, skip, main = _style(tag, attrs)
+        up.owner.shape = zlib.crc32(tag.encode(), up.owner.shape)
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
+            continue
+        if tag == "header":
+            skip = skip or not up.main
+        why = "" if up.skip == "form" and main and not skip else up.skip or (tag if skip else "")  # a form around the whole page is no form
+        stack.append(_Frame(tag, _under(up.node, style), up, len(stack), why, (main or up.main) and not why))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return blocks
 
 
-def _in_page_header(block: Block) -> bool:
-    """Text of a header inside the article that is no heading."""
-    return "/header" in block.path and block.tag not in HEADINGS
-
-
 def kept(blocks: list[Block], removed: frozenset[int] = frozenset()) -> list[str]:
-    """The texts of the article's blocks."""
-    left = [b for b in blocks if not b.skip and not _in_page_header(b)]
-    if any(b.main for b in left):
-        left = [b for b in left if b.main]
-    pruned = [b for b in left if node(own_path(b) or b.path) not in removed] if removed else left
+    """The texts of the article's blocks, without the removed nodes and texts."""
+    left = [b for b in blocks if b.main] or blocks
+    pruned = [b for b in left if b.node not in removed and own_node(b) not in removed] if removed else left
     return [b.text for b in pruned or left]
 
 
-def node(path: str) -> int:
-    return xxhash.xxh64_intdigest(path.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def own_path(block: Block) -> str:
-    """The path of a text of the marked article that is judged by itself, else nothing."""
-    return f"{block.path}\n{block.text}" if block.main and block.tag in TEXT else ""
+def own_node(block: Block) -> int:
+    """The leaf that the text itself is."""
+    return node(f"{block.node}\n{block.text}")
 
 
 _NODE = "host long, page long, node long, shape long, content long"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page hash, html) to a row for each node with text; a text judged by itself has no shape, and its path's node as content."""
-    for batch in batches:
+    """(host, page hash, html) to a row for each node with text of its own, and one for each text, which has no shape and its node as content."""
+    for batch in sliced(batches):
         rows: list[tuple] = []
         for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            own: dict[str, tuple[list[str], list[str]]] = {}
-            single: dict[str, str] = {}
-            for b in parse(text.as_py() or ""):
-                if not b.skip:  # what goes by name needs no statistics
-                    shapes, texts = own.setdefault(b.path, ([], []))
-                    shapes.append(b.shape)
-                    texts.append(b.text)
-                    if path := own_path(b):
-                        single[path] = b.path
-            rows += [(host, page, node(path), node("|".join(s)), node("\n".join(t))) for path, (s, t) in own.items()]
-            rows += [(host, page, node(path), None, node(up)) for path, up in single.items()]
+            own: dict[int, tuple[list[int], list[str]]] = {}
+            single: dict[int, int] = {}
+            blocks = parse(text.as_py() or "")
+            for b in [b for b in blocks if b.main] or blocks:
+                shapes, texts = own.setdefault(b.node, ([], []))
+                shapes.append(b.shape)
+                texts.append(b.text)
+                single[own_node(b)] = b.node
+            rows += [(host, page, of, node(str(s)), node("\n".join(t))) for of, (s, t) in own.items()]
+            rows += [(host, page, of, None, up) for of, up in single.items()]
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["host", "page", "node", "shape", "content"])
 
 
@@ -270,16 +303,18 @@ def removed_nodes(pages: DataFrame, importance: float = IMPORTANCE, min_pages: i
     low = cut(node_importance(every).where(F.col("importance") < importance).where(F.col("pages") >= min_pages).select("host", "node"), "removed")
     dealt = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = every.select("host", "page", "node", F.pmod("page", F.lit(SALTS)).cast("int").alias("salt"))
-    return salted.join(dealt, ["host", "node", "salt"]).groupBy("host", "page").agg(F.collect_list("node").alias("removed"))
+    gone = cut(salted.join(dealt, ["host", "node", "salt"]).groupBy("host", "page").agg(F.collect_list("node").alias("removed")), "removed-by-page")
+    drop(every, low)
+    return gone
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    gone = cut(removed_nodes(pages).select(F.col("host").alias("_host"), F.col("page").alias("_page"), "removed"), "removed-by-page")
+    gone = removed_nodes(pages).select(F.col("host").alias("_host"), F.col("page").alias("_page"), "removed")
     rows = pages.select("page_id", "url", "html").join(gone, (F.xxhash64(host_of(F.col("url"))) == F.col("_host")) & (F.xxhash64("html") == F.col("_page")), "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "removed")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = []
             for page, gone_ in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 texts.append("\n".join(kept(parse(page.as_py() or ""), frozenset(gone_ or ()))))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -57,6 +58,47 @@ def test_substrings_documents(spark, sf_dir):
     assert sum(w[1] for w in want) > 0
 
 
+def test_substrings_of_long_texts_in_pieces(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("ab ") for _ in range(3000))
+    texts = [text, text[1000:1400] + "x", "y" + text[200:2900], "z" * 900, text[2500:]]
+    got = {}
+    for chunk in (64, 1 << 21):
+        spans = suffix.repeated_windows(docs_frame(spark, texts), 60, chunk=chunk)
+        got[chunk] = {(r["doc_id"], p) for r in rows(spans) for p in range(r["lo"], r["hi"])}
+    assert got[64] == got[1 << 21] and len(got[64]) > 3000
+
+
+@pytest.mark.parametrize("hot", [5000, 2])
+def test_passages(spark, hot):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7)))
+    shared = [[word() for _ in range(rng.randrange(4, 30))] for _ in range(5)]
+    texts = []
+    for _ in range(30):
+        words = [w for _ in range(4) for w in (rng.choice(shared) if rng.random() < 0.4 else [word() for _ in range(rng.randrange(1, 20))])]
+        texts.append("".join(rng.choice([w, w.title()]) + rng.choice([" ", "\n", "  "]) for w in words))
+    texts += [None, "", "ab " * 40]
+    lists = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split() for t in texts]
+    seen = Counter(tuple(w[i : i + 12]) for w in lists for i in range(len(w) - 11))
+    want = {(d, i) for d, w in enumerate(lists) for i in range(len(w) - 11) if seen[tuple(w[i : i + 12])] > 1}
+    assert {(r["doc_id"], p) for r in rows(suffix.passages(docs_frame(spark, texts), 12, hot)) for p in range(r["lo"], r["hi"])} == want and len(want) > 50
+    covered = Counter(d for d, _ in {(d, j) for d, i in want for j in range(i, i + 12)})
+    assert {r["doc_id"]: r["n_passage_words"] for r in rows(suffix.deduplicated(docs_frame(spark, texts), hot=hot, words=12))} == {d: covered[d] for d in range(len(texts))}
+
+
+def test_crowded_buckets_of_both_ways_agree():
+    """Numbers of pointers by rank and by hash split the same windows."""
+    rng = random.Random(6)
+    data = np.frombuffer("".join(rng.choice("ab") for _ in range(4000)).encode(), np.uint8)
+    begin, count = np.arange(0, 4000, 100), np.full(40, 90)
+    symbols = np.concatenate([data[b : b + 101] for b in begin[:39]] + [data[:101]])
+    ranked = suffix.refine(symbols, np.arange(40) * 101, count, 12)
+    pairs = [p for k in range(40) for p in zip(*(suffix.numbered(symbols[k * 101 : k * 101 + 101], 12, suffix.BYTES, w).tolist() for w in (0, 1)))]
+    times = Counter(pairs)
+    assert ranked.tolist() == [times[p] > 1 for p in pairs] and 0 < ranked.sum() < len(ranked)
+
+
 def test_substrings_empty(spark):
     assert suffix.op2_suffix(docs_frame(spark, [])).count() == 0
     assert rows(suffix.op2_suffix(docs_frame(spark, [None])))[0]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
@@ -152,6 +194,61 @@ def test_parse_cases():
     assert text("<head><title>t</title><p>q") == "q"
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<div class="content has-sidebar"><p>x</p></div>', "x"), ('<div class="long-form story"><p>x</p></div>', "x"), ('<main class="no-sidebar"><p>x</p></main>', "x"), ('<article class="social-science"><p>x</p></article>', "x"),
+    ("<form id=page><main><p>x</p></main><p>no</p></form>", "x"), ('<div class="site-footer">no</div><p>x', "x"), ('<div id="comments"><article class="comment"><p>no</p></article></div><p>x', "x"), ('<div class="post-header"><h1>x</h1></div>', "x"),
+    ('<div class="cookie-banner">no</div>x', "x"), ('<div class="widget widget-ads">no</div><div role="navigation">no</div>x', "x"), ("<p>a<hr>b<div>c<p>d", "a\nb\nc\nd"), ("a <b <c", "a <b <c"), ("<p title='a>b' class=\"x>y\">z", "z"),
+])
+def test_names(page, want):
+    assert "\n".join(sitetree.kept(sitetree.parse(page))) == want
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<a " * 300_000 + ">", "<abc " * 200_000, '<div class="c">' * 100_000 + "x", "<a \"'>" * 100_000, "<b>" * 100_000 + "<hr>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000,
+    "<div>" * 50_000 + "<head><p>" * 50_000, "<!--" * 200_000, "<li><b><dt><td>" * 50_000, "<script>" * 100_000, "<p><b>x" * 100_000, "&amp;" * 200_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    sitetree.kept(sitetree.parse(page))
+    assert time.process_time() - began < 20
+
+
+def test_importance_by_brute_force(spark):
+    rng = random.Random(4)
+    page = lambda: "<body>" + "".join(f'<div class="{rng.choice("ab")}">{"<p>" + rng.choice(["Same", "Same", "Same", "One", "Two"]) + "</p>" if rng.random() < 0.9 else "own " + rng.choice("xy")}{rng.choice(["", "<i>k</i>", "<br>"])}</div>' for _ in range(rng.randrange(1, 4)))
+    pairs = [(f"http://h{k % 3}.com/{k}", page()) for k in range(60)]
+    every = sitetree.style_nodes(pages_frame(spark, pairs + pairs[:9]))
+    got = {(r["host"], r["node"]): (r["pages"], r["importance"]) for r in rows(sitetree.node_importance(every))}
+    hosts = {r["url"]: r["host"] for r in rows(pages_frame(spark, pairs).select("url", F.xxhash64(linkgraph.host_of(F.col("url"))).alias("host")))}
+    shows, texts, on = {}, {}, {}
+    for url, html in {(u.rsplit("/", 1)[0], h): (u, h) for u, h in pairs}.values():  # distinct pages of each host
+        own = {}
+        for b in sitetree.parse(html):
+            own.setdefault(b.node, []).append(b)
+        for node, blocks in own.items():
+            key = hosts[url], node
+            shows.setdefault(key, []).append(tuple(b.shape for b in blocks))
+            texts.setdefault(key, []).append(tuple(b.text for b in blocks))
+            for leaf in {sitetree.own_node(b) for b in blocks}:
+                on.setdefault((key[0], leaf), []).append(key)
+
+    def entropy(values):
+        m = len(values)
+        return 1.0 if m == 1 else -sum(c / m * np.log(c / m) / np.log(m) for c in Counter(values).values())
+
+    want = {k: (len(v), 0.9 * entropy(texts[k]) + 0.1 * entropy(shows[k])) for k, v in shows.items()}
+    for leaf, keys in on.items():
+        if len(keys) > 1:
+            m, k = len(shows[keys[0]]), len(keys)
+            want[leaf] = (k, entropy(["it"] * k + list(range(m - k))))
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and len(want) > 20
+    assert [got[k][1] for k in want] == pytest.approx([v[1] for v in want.values()], abs=1e-9)
+
+
+def test_branches_go_whole(spark):
+    page = lambda i: f'<body><div class="box">Head<div class="in"><p>Sub</p><ul><li>a<li>b</ul></div></div><div class="text">Intro<p>Body {i}</p></div></body>'
+    got = rows(sitetree.op7_html(pages_frame(spark, [(f"http://h.com/{i}", page(i)) for i in range(9)])))
+    assert sorted(r["text"] for r in got) == [f"Body {i}" for i in range(9)]
+
+
 def test_site_tree_removes_repeated_branches(spark):
     page = lambda i: f'<body><div class="top"><p>Welcome to our site</p></div><div class="x{i}"><p>Body {i} alpha</p><p>tail {i * 7}</p></div><div class="legal">All rights reserved</div></body>'
     pairs = [(f"http://h.com/{i}", page(i)) for i in range(12)] + [("http://one.com/", page(1)), ("http://h.com/0", page(0)), (None, None), ("http://e.com", "")]
