@@ -79,53 +79,58 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     return out.withColumn("n_distinct", distinct_count(F.col("fingerprint"), k))
 
 
-def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
-    """A non-null key, and a number within it, so that repeated ids stay apart."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("order"), F.length(text).alias("n"), *columns)
-    return base.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("order", "n")))
+#: A document's place in the order, and what tells texts of one doc_id apart.
+_PLACE = ("key", "text_hash")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """key (never null), text_hash, n, body."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(body).alias("text_hash"), F.length(body).alias("n"), body.alias("body"))
 
 
 def next_links(docs: DataFrame) -> DataFrame:
-    """(key, nth, n, prev_key, prev_nth, prev_n): each document and the one before it, the last coming before the first.
+    """(key, text_hash, prev_key, prev_text_hash, prev_n): each distinct row and the one before it, the last coming before the first.
 
-    Ids are dealt into ranges of equal size; only the first and last of each range
-    (a few rows for many thousands) meet in one place.
+    Rows are dealt into ranges of equal size by (key, text_hash), so rows that share a
+    doc_id, or have none, are spread too; only the first and last of each range (a few
+    rows for many thousands) meet in one place.
     """
-    narrow = _keyed(docs).select("key", "nth", F.col("n").cast("long").alias("n"))
+    narrow = _placed(docs).groupBy(*_PLACE).agg(F.first("n").cast("long").alias("n"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(narrow.repartitionByRange(parts, "key", "nth").withColumn("part", F.spark_partition_id()), "ids")
-    inside = Window.partitionBy("part").orderBy("key", "nth")
-    lagged = lambda c: F.lag(c).over(inside)
-    rows = ranged.select("key", "nth", "n", "part", *(lagged(c).alias(f"prev_{c}") for c in ("key", "nth", "n")))
-    me = F.struct("key", "nth", "n")
-    ends = ranged.groupBy("part").agg(F.max(me).alias("last"))
+    ranged = cut(narrow.repartitionByRange(parts, *_PLACE).withColumn("part", F.spark_partition_id()), "ids")
+    inside = Window.partitionBy("part").orderBy(*_PLACE)
+    fields = (*_PLACE, "n")
+    rows = ranged.select(*_PLACE, "part", *(F.lag(c).over(inside).alias(f"prev_{c}") for c in fields))
+    ends = ranged.groupBy("part").agg(F.max(F.struct(*fields)).alias("last"))
     order = Window.orderBy("part")
     everything = Window.partitionBy()
     joints = ends.select(F.col("part").alias("_part"), F.coalesce(F.lag("last").over(order), F.max("last").over(everything)).alias("_prev"))
     rows = rows.join(F.broadcast(joints), F.col("part") == F.col("_part"))  # one row for each shuffle partition
-    pick = lambda c: F.when(F.col("prev_key").isNull(), F.col(f"_prev.{c}")).otherwise(F.col(f"prev_{c}"))
-    return rows.select("key", "nth", *(pick(c).alias(f"prev_{c}") for c in ("key", "nth", "n")))
+    pick = lambda c: F.when(F.col("prev_key").isNull(), F.col(f"_prev.{c}")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}")
+    return rows.select(*_PLACE, *(pick(c) for c in fields))
 
 
 def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:
     """Each document with its edited text: the last quarter replaced by as much of the next document's beginning.
 
-    Texts are shuffled once by id. To the document before it each one sends its sketch
-    and only as much of its text as that edit takes.
+    Texts are shuffled once by place. To the document before it each one sends its sketch
+    and only as much of its text as that edit takes. Rows with equal doc_id and text are
+    one row with a count on the way: each but the last is followed by its like.
     """
-    links = next_links(docs)
-    own = _keyed(docs, F.coalesce(F.col("text"), F.lit("")).alias("body"))
-    own = own.withColumn("sketch", sketch(F.col("body"), k))  # the same columns on both sides below, so that one exchange serves both
-    l = links.select(F.col("key").alias("_key"), F.col("nth").alias("_nth"), "prev_key", "prev_nth", "prev_n")
-    linked = own.join(l, (F.col("key") == F.col("_key")) & ((F.col("nth") - F.col("_nth")) == 0))
-    sent = linked.select(F.col("prev_key").alias("_to"), F.col("prev_nth").alias("_to_nth"), F.expr("left(body, cast(prev_n div 4 as int))").alias("prefix"), F.col("sketch").alias("next_sketch"))
-    both = own.join(sent, (F.col("key") == F.col("_to")) & ((F.col("nth") - F.col("_to_nth")) == 0))
-    both = both.withColumn("edited", F.expr("concat(left(body, n - n div 4), prefix)"))
-    return both.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "body", "edited", "sketch", sketch(F.col("edited"), k).alias("edited_sketch"), "next_sketch")
+    links = next_links(docs).select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), "prev_key", "prev_text_hash", "prev_n")
+    rows = _placed(docs).withColumn("sketch", sketch(F.col("body"), k))
+    own = rows.groupBy(*_PLACE).agg(F.first(F.struct("n", "body", "sketch")).alias("own"), F.count("*").alias("copies")).select(*_PLACE, "own.*", "copies")
+    at = lambda key, text: (F.col("key") == F.col(key)) & (F.col("text_hash") == F.col(text))
+    sent = own.join(links, at("_key", "_hash")).select(F.col("prev_key").alias("_to"), F.col("prev_text_hash").alias("_to_hash"), F.expr("left(body, cast(prev_n div 4 as int))").alias("prefix"), F.col("sketch").alias("next_sketch"))
+    last = own.join(sent, at("_to", "_to_hash")).select("key", "n", "body", "sketch", "prefix", "next_sketch", F.lit(1).cast("long").alias("times"))
+    others = own.where("copies > 1").select("key", "n", "body", "sketch", F.expr("left(body, n div 4)").alias("prefix"), F.col("sketch").alias("next_sketch"), (F.col("copies") - 1).alias("times"))
+    both = last.union(others).withColumn("edited", F.expr("concat(left(body, n - n div 4), prefix)"))
+    return both.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "body", "edited", "sketch", sketch(F.col("edited"), k).alias("edited_sketch"), "next_sketch", "times")
 
 
 def op8_fingerprint(docs: DataFrame) -> DataFrame:
-    return edited_pairs(docs.select("doc_id", "text")).select(
+    out = edited_pairs(docs.select("doc_id", "text")).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), to_text(F.col("sketch")).alias("fingerprint"), to_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+        resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"), "times")
+    return out.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times", "time")
