@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from emberlake.llm import kernels as K
 from emberlake.llm.components import components
 from emberlake.llm.counts import count_vector
-from emberlake.llm.shared import cut, drop, let, sized, small_batches
+from emberlake.llm.shared import cut, drop, let, sized, sliced
 
 N = 5
 #: Similarity at which documents link, as a share of 100.
@@ -99,7 +99,7 @@ def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = rarity.value
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, a, b, parities, prefixes = [], [], [], [], []
             for s in _sets(batch.column(2), n):
                 size = len(s)
@@ -152,7 +152,7 @@ def _verified(pairs: DataFrame, many: int, classes: DataFrame, repeated: bool, d
     joined = sized(placed.join(side("u"), "key_u").join(side("v"), "key_v"), many, PAIRS).select("u", "v", "s_u", "s_v", "text_u", "text_v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             u, v, su, sv = (batch.column(k).to_pylist() for k in range(4))
             keep, link = [], []
             for k, (a, b) in enumerate(zip(_sets(batch.column(4), n), _sets(batch.column(5), n), strict=True)):
@@ -183,7 +183,7 @@ def _labelled(live: DataFrame, stars: DataFrame | None) -> DataFrame:
 
 def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Profiles of every row; (s1, s2, component_id, best) of every set that is not empty, best being the row that stands for the component."""
-    profiles = _profiles(small_batches(docs), n, percent)
+    profiles = _profiles(docs, n, percent)
     full = profiles.where("n > 0")
     repeated = bool(full.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").take(1))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
@@ -256,12 +256,13 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
     judged = profiles.where("n > 0").join(sets.select("s1", "s2", "best"), ["s1", "s2"]).select(_key().alias("_key"), (_key() == _key("best.")).alias("stays"))
     found = judged.groupBy("_key").agg(F.count("*").alias("rows"), F.first("stays").alias("stays")).where("not stays or rows > 1")
     found = cut(found, "judged")
-    own = docs.withColumn("_key", _key(text=F.xxhash64("text")))
+    drop(profiles)
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), _key(text=F.xxhash64("text")).alias("_key"))  # packed: no column's name can clash
     marked = _marked(own, found)
-    unsure = marked.where("_marked").join(found.select("_key"), "_key", "left_anti").select(docs.columns)
+    unsure = marked.where("_marked").join(found.select("_key"), "_key", "left_anti").select("_row")
     twice = found.where("stays").select("_key")  # equal doc_id and text: one row is taken before they are moved
-    once = _marked(own, twice).where("_marked").groupBy("_key").agg(F.first(F.struct(*docs.columns)).alias("_row")).join(twice, "_key", "left_semi").select("_row.*")
-    return marked.where("not _marked").select(docs.columns).unionByName(unsure).unionByName(once)
+    once = _marked(own, twice).where("_marked").groupBy("_key").agg(F.first("_row").alias("_row")).join(twice, "_key", "left_semi").select("_row")
+    return marked.where("not _marked").select("_row").union(unsure).union(once).select("_row.*")
 
 
 def op9_near_duplicates(docs: DataFrame) -> DataFrame:
