@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, fields
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.operators.ordering import greatest_before
+
 
 @dataclass(frozen=True)
 class DetectionConfig:
@@ -38,7 +40,7 @@ class DetectionConfig:
                 (self.allowed_lateness_seconds >= 0, "lateness must not be negative"),
                 (self.state_retention_seconds >= self.window_seconds, "retention must cover the window"),
                 (self.weight_function == "threshold_ratio", "unknown weight_function"),
-                (0 <= self.weight_max <= 1_000_000, "weight_max must be in [0, 1000000]"),
+                (1000 <= self.weight_max <= 1_000_000, "weight_max must be in [1000, 1000000]"),
             )
             if not ok
         ]
@@ -78,10 +80,10 @@ class DetectionConfig:
             return cls.from_json(f.read())
 
 
-def accepted_versions(history: DataFrame) -> DataFrame:
-    """Of (seen_at, config_version, ...) the rows that a poller adopts: each strictly newer than all before it."""
-    before = Window.orderBy("seen_at").rowsBetween(Window.unboundedPreceding, -1)  # one row for each version ever published
-    return history.withColumn("_newest", F.max("config_version").over(before)).where("_newest is null or config_version > _newest").drop("_newest")
+def accepted_versions(history: DataFrame, span: int = 10_000) -> DataFrame:
+    """Of (seen_at, config_version, ...) the rows that a poller adopts: each strictly newer than all before it. Compared within spans of ``seen_at`` first."""
+    rows = greatest_before(history.withColumn("_all", F.lit(0)), ["_all"], "config_version", "seen_at", ["seen_at"], "_newest", span)
+    return rows.where("_newest is null or config_version > _newest").drop("_newest", "_all")
 
 
 def parse_shards(text: str, count: int = 128) -> tuple[int, ...]:

@@ -14,6 +14,7 @@ from emberlake.config import DetectionConfig
 from emberlake.functions.hashing import event_id
 from emberlake.functions.timebuckets import is_live, within_lateness
 from emberlake.functions.weights import threshold_ratio, transition_attributes
+from emberlake.operators.ordering import numbered
 
 
 def lateness_outcome(now: Column, start: Column, window_seconds: Column, cfg: DetectionConfig) -> Column:
@@ -85,7 +86,7 @@ def hot_ip_events(changed: DataFrame, cfg: DetectionConfig, shards: int) -> Data
     shard = F.pmod(F.col("ip"), F.lit(shards)).cast("int")
     kind = F.when(F.col("state") == 1, "HotIpAdded").otherwise("HotIpRemoved")
     out = changed.select("ip", "t", "phase", shard.alias("shard"), kind.alias("type"), F.col("total").alias("window_count"))
-    out = out.withColumn("sequence", (F.row_number().over(Window.partitionBy("shard").orderBy("t", "phase", "ip")) - 1).cast("long"))
+    out = numbered(out, ["shard"], "t", ["t", "phase", "ip"], "sequence")
     weight = threshold_ratio(F.col("window_count"), cfg.hot_threshold, cfg.weight_max)
     return (
         out.withColumn("weight", F.when(F.col("type") == "HotIpAdded", weight))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlake.config import DetectionConfig
 from emberlake.functions.addressing import capacity, mask
-from emberlake.operators.prefixes import running_sum
+from emberlake.operators.ordering import previous, running_sum
 
 
 def is_hot_prefix(hot_count: Column, length: Column, minimum_hot_ips: int, minimum_hot_ratio: float, bits: int = 32) -> Column:
@@ -39,9 +39,8 @@ def listed(prefixes: DataFrame) -> DataFrame:
 
 def classification_changes(changelog: DataFrame, cfg: DetectionConfig) -> DataFrame:
     """The rows of a stats changelog at which a prefix's state changes."""
-    order = Window.partitionBy("length", "network").orderBy("t", "phase", "ip")
-    before = F.lag("state", 1, "NORMAL").over(order)
-    return with_state(changelog, cfg).withColumn("_before", before).where("state != _before").drop("_before")
+    states = previous(with_state(changelog, cfg), ["length", "network"], "state", "t", ["t", "phase", "ip"], F.lit("NORMAL"), "_before")
+    return states.where("state != _before").drop("_before")
 
 
 def detections(changelog: DataFrame, cfg: DetectionConfig) -> DataFrame:

@@ -10,14 +10,20 @@ from emberlake.functions.addressing import is_ipv4
 
 # Limits of an observation message.
 MAX_ENTRIES, MAX_BODY, MAX_COUNT, MAX_AGENT, MAX_WINDOW = 10_000, 1 << 20, 1_000_000_000, 128, 3600
+#: Sequences whose run is measured together.
+SEQUENCE_SPAN = 1 << 16
 KEYS = ("agent_id", "sequence", "window_start", "window_seconds", "observations")
 
 
-def reject_reason(cfg: DetectionConfig, valid_ip=is_ipv4) -> Column:
-    """Why a message (agent_id, sequence, window_start in microseconds, window_seconds, observations) is refused; null if it is not."""
+def reject_reason(cfg: DetectionConfig, valid_ip=is_ipv4, raw: Column | None = None) -> Column:
+    """Why a message (agent_id, sequence, window_start in microseconds, window_seconds, observations) is refused; null if it is not.
+
+    With its ``raw`` text, a body over the limit and keys that no message has are refused first.
+    """
     obs = F.col("observations")
+    first = F.when(body_too_large(raw), "body").when(F.size(unknown_keys(raw)) > 0, "unknown_key") if raw is not None else F
     return (
-        F.when(F.length("agent_id").between(1, MAX_AGENT).isNull() | ~F.length("agent_id").between(1, MAX_AGENT), "agent_id")
+        first.when(F.length("agent_id").between(1, MAX_AGENT).isNull() | ~F.length("agent_id").between(1, MAX_AGENT), "agent_id")
         .when(F.col("sequence").isNull() | (F.col("sequence") < 0), "sequence")
         .when(F.col("window_seconds").isNull() | ~F.col("window_seconds").between(1, MAX_WINDOW), "window_seconds")
         .when(F.col("window_start").isNull() | (F.pmod("window_start", F.lit(cfg.bucket_seconds * 1_000_000)) != 0), "misaligned")
@@ -56,13 +62,21 @@ def unseen(messages: DataFrame, seen: DataFrame) -> DataFrame:
     return messages.join(seen.select("agent_id", "sequence").distinct(), ["agent_id", "sequence"], "left_anti")
 
 
-def high_water_marks(messages: DataFrame) -> DataFrame:
-    """(agent_id, mark, ahead): the end of the unbroken run of sequences from the agent's first, and how many lie beyond it."""
-    rows = messages.select("agent_id", "sequence").distinct()
-    order = Window.partitionBy("agent_id").orderBy("sequence")
-    islands = rows.withColumn("_island", F.col("sequence") - F.row_number().over(order))
-    runs = islands.groupBy("agent_id", "_island").agg(F.max("sequence").alias("_end"), F.count("*").alias("_size"))
-    return runs.groupBy("agent_id").agg(F.min_by("_end", "_island").alias("mark"), (F.sum("_size") - F.min_by("_size", "_island")).alias("ahead"))
+def high_water_marks(messages: DataFrame, span: int = SEQUENCE_SPAN) -> DataFrame:
+    """(agent_id, mark, ahead): the end of the unbroken run of sequences from 0, -1 where 0 is missing, and how many lie beyond it.
+
+    Runs are measured within spans of sequences; an agent's spans, one row each, then
+    tell how far the run goes.
+    """
+    rows = messages.where("sequence >= 0").select("agent_id", "sequence").distinct().withColumn("_span", F.floor(F.col("sequence") / span))
+    nth = F.row_number().over(Window.partitionBy("agent_id", "_span").orderBy("sequence")) - 1
+    runs = rows.withColumn("_unbroken", F.col("sequence") - F.col("_span") * span == nth)
+    spans = runs.groupBy("agent_id", "_span").agg(F.count_if("_unbroken").alias("_run"), F.count("*").alias("_size"))
+    order = Window.partitionBy("agent_id").orderBy("_span")
+    full = F.min((F.col("_run") == span).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    reached = spans.withColumn("_reached", (F.coalesce(full, F.lit(1)) == 1) & (F.row_number().over(order) - 1 == F.col("_span")))
+    run = F.sum(F.when(F.col("_reached"), F.col("_run")).otherwise(0))
+    return reached.groupBy("agent_id").agg((run - 1).alias("mark"), (F.sum("_size") - run).alias("ahead"))
 
 
 def coalesced(batches: DataFrame, message: tuple[str, ...] = ("agent_id", "batch")) -> DataFrame:

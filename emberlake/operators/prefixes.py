@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.functions.addressing import MIN_LENGTH, VIEW_LENGTHS, capacity, capacity_text, format_ipv6, format_prefix, hot_ratio, mask, mask_ipv6, unsigned_order
-
-#: Seconds of a span of a changelog.
-SPAN = 86400
+from emberlake.operators.ordering import numbered, running_sum
 
 
 def ancestors(rows: DataFrame, min_length: int = MIN_LENGTH["ipv4"], max_length: int = 32, address: str = "ip") -> DataFrame:
@@ -90,18 +88,6 @@ def effective_changes(log: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return log.withColumn("_before", before).where("type != _before").drop("_before")
 
 
-def running_sum(rows: DataFrame, keys: list[str], value: str, time: str, order: list[str], span: int = SPAN) -> DataFrame:
-    """Adds running: the sum of ``value`` up to each row of its key. Within spans of time first, then over the spans' totals."""
-    spans = rows.withColumn("_span", F.floor(F.col(time) / span))
-    totals = spans.groupBy(*keys, "_span").agg(F.sum(value).alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_span").alias("_span2"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_span") == F.col("_span2")]
-    joined = spans.withColumn("_inside", F.sum(value).over(inside)).join(base, on)
-    return joined.withColumn("running", F.col("_base") + F.col("_inside")).drop(*[f"_{k}" for k in keys], "_span", "_span2", "_base", "_inside")
-
-
 def stats_changelog(changes: DataFrame, min_length: int = MIN_LENGTH["ipv4"]) -> DataFrame:
     """A row for each effective change and ancestor, with the count after it: 25 for an IPv4 address."""
     signed = changes.withColumn("delta", F.when(F.col("type") == "HotIpAdded", 1).otherwise(-1).cast("long"))
@@ -152,9 +138,15 @@ def longest_match(addresses: DataFrame, counts: DataFrame) -> DataFrame:
     return addresses.join(best, "ip", "left").select(*addresses.columns, "_best.*")
 
 
-def preorder(counts: DataFrame) -> Column:
-    """Sort key of a depth-first walk, branch 0 first."""
-    return F.struct("network", "length")
+def preorder(counts: DataFrame) -> DataFrame:
+    """Adds position, from 1, in a depth-first walk over all prefixes, branch 0 first. Numbers are dealt by /16, so no task walks the whole tree."""
+    one = counts.withColumn("_tree", F.lit(0))
+    return numbered(one, ["_tree"], F.shiftright("network", 16), ["network", "length"], "_nth").withColumn("position", F.col("_nth") + 1).drop("_tree", "_nth")
+
+
+def declarations_in_order(declared: DataFrame) -> DataFrame:
+    """Declared prefixes once each, shortest first, then by address: the order in which a path's declarations apply."""
+    return declared.select("length", "network").distinct().orderBy("length", "network")
 
 
 def view_lengths() -> tuple[int, ...]:

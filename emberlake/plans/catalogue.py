@@ -11,7 +11,7 @@ from emberlake import api
 from emberlake.config import DetectionConfig, accepted_versions
 from emberlake.functions import addressing as A
 from emberlake.functions import hashing as H
-from emberlake.operators import activity, audit, classify, folds, ingest, metadata, prefixes
+from emberlake.operators import activity, audit, classify, folds, ingest, metadata, ordering, prefixes
 from emberlake.plans import sql as S
 from emberlake.sources import derived as D
 
@@ -134,7 +134,10 @@ def prefix_counts_ipv6(spark, d):
 
 
 def high_water_mark(spark, d):
-    return ingest.high_water_marks(D.observations(spark, d).where("sequence % 97 != 50").select("agent_id", F.floor(F.col("sequence") / 5).alias("sequence")))
+    """Each agent's messages numbered from 0, with gaps; one agent begins at 3."""
+    own = ordering.numbered(D.observations(spark, d).select("agent_id", "sequence"), ["agent_id"], F.floor(F.col("sequence") / 1000), ["sequence"], "k")
+    sent = own.select("agent_id", (F.col("k") + F.when(F.col("agent_id") == "view", 3).otherwise(0)).alias("sequence")).where("sequence % 97 != 50")
+    return ingest.high_water_marks(sent.unionByName(sent.where("agent_id = 'click'").select("agent_id", F.lit(0).cast("long").alias("sequence"))), span=64)
 
 
 def _batches(spark, d):
@@ -337,7 +340,7 @@ def config_reevaluation(spark, d):
 
 
 def config_versions(spark, d):
-    seen = D.observations(spark, d).where("sequence % 50 = 0").select(F.col("sequence").alias("seen_at"), (F.pmod(F.col("sequence") * 37, F.lit(1000)) + 1).alias("config_version"))
+    seen = D.observations(spark, d).select(F.col("sequence").alias("seen_at"), (F.pmod(F.col("sequence") * 37, F.lit(1000)) + F.floor(F.col("sequence") / 500) + 1).alias("config_version"))
     return accepted_versions(seen)
 
 
@@ -368,8 +371,9 @@ def shard_merge(spark, d):
 
 
 def rate_limit_decisions(spark, d):
-    calls = D.observations(spark, d).select("agent_id", "t", F.col("sequence").alias("id"), (F.col("sequence") % 5 + 1).cast("long").alias("cost"))
-    return folds.token_bucket(calls, 0.002, 10.0)
+    calls = D.observations(spark, d).select("agent_id", "t", F.col("sequence").alias("id"), (F.col("sequence") % 13 - 1).cast("long").alias("cost"))
+    out = folds.token_bucket(calls, 0.002, 10.0)
+    return out.select("agent_id", "t", "id", "cost", "allowed", "problem", F.when(~F.col("allowed"), ingest.retry_after(F.col("cost"), F.col("tokens"), 0.002)).alias("retry_after"))
 
 
 def lease_history(spark, d):
@@ -397,9 +401,13 @@ def _tally(problems: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def hot_prefix_walk(spark, d):
-    """Prefixes in depth-first order, within each /16 (a walk as a whole is one order)."""
-    c = _counts(spark, d, 16).withColumn("site", A.mask(F.col("network"), 16))
-    return c.withColumn("position", F.row_number().over(Window.partitionBy("site").orderBy(prefixes.preorder(c))))
+    """All prefixes in depth-first order."""
+    return prefixes.preorder(_counts(spark, d))
+
+
+def declarations_order(spark, d):
+    order = Window.orderBy("length", "network")  # a row for each declared prefix
+    return prefixes.declarations_in_order(D.declarations(spark, d)).withColumn("place", F.row_number().over(order).cast("long"))
 
 
 def canonical_attributes(spark, d):
@@ -421,7 +429,7 @@ _NAMES = (
     " reconciliation_rows bucket_counts sliding_window_total window_ticks ip_state_timeline ip_transitions hot_ip_events shard_gauges transition_counters transition_store cold_eviction_candidates capacity_victims hot_set_current"
     " request_count_latest attribute_bytes log_positions prefix_counts prefix_counts_ipv6 prefix_stats prefix_rollup_hierarchical total_hot prefix_stats_changelog latest_prefix_stats hot_prefixes hot_prefixes_minimal classification_changes"
     " detections_since detection_gauges ancestor_counts longest_match prefix_containment ip_view prefix_view metadata_local metadata_inherited metadata_effective_prefix metadata_effective metadata_conflicts config_reevaluation"
-    " config_versions rebucketed warm_up snapshot_plus_tail shard_merge rate_limit_decisions lease_history audit_counts audit_records hot_prefix_walk canonical_attributes stream_equals_batch"
+    " config_versions rebucketed warm_up snapshot_plus_tail shard_merge rate_limit_decisions lease_history audit_counts audit_records hot_prefix_walk declarations_order canonical_attributes stream_equals_batch"
 ).split()
 
 

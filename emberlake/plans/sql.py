@@ -100,8 +100,10 @@ QUERIES: dict[str, str] = {
         UNION ALL SELECT n.agent_id, n.sequence, n.t, n.id, n.k, n.t >= f.until, CASE WHEN n.t >= f.until THEN n.t + 5400 ELSE f.until END FROM f JOIN n ON n.agent_id = f.agent_id AND n.sequence = f.sequence AND n.k = f.k + 1)
       SELECT agent_id, sequence, t, id, claimed FROM f""",
     "prefix_counts_ipv6": _q("SELECT length, 2306139568115548160::BIGINT AS hi, CAST(network - 9223372036854775808 AS BIGINT) AS lo, hot_count FROM (SELECT CAST(length + 96 AS INTEGER) AS length, network::HUGEINT AS network, hot_count FROM counts WHERE length >= 8)", *_C),
-    "high_water_mark": _q("""SELECT agent_id, arg_min(last, island) AS mark, CAST(sum(size) - arg_min(size, island) AS BIGINT) AS ahead FROM (SELECT agent_id, island, max(sequence) AS last, count(*) AS size
-      FROM (SELECT *, sequence - row_number() OVER (PARTITION BY agent_id ORDER BY sequence) AS island FROM (SELECT DISTINCT agent_id, sequence // 5 AS sequence FROM obs WHERE sequence % 97 <> 50)) GROUP BY ALL) GROUP BY agent_id""", _OBS),
+    "high_water_mark": _q("""SELECT agent_id, first_gap - 1 AS mark, CAST((SELECT count(*) FROM seen s WHERE s.agent_id = g.agent_id AND s.sequence > g.first_gap) AS BIGINT) AS ahead FROM
+      (SELECT agent_id, min(next) AS first_gap FROM (SELECT agent_id, sequence + 1 AS next FROM seen UNION SELECT agent_id, 0 FROM seen) c
+       WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.agent_id = c.agent_id AND s.sequence = c.next) GROUP BY agent_id) g""", _OBS,
+      "seen AS (SELECT agent_id, k AS sequence FROM (SELECT agent_id, row_number() OVER (PARTITION BY agent_id ORDER BY sequence) - 1 + CASE agent_id WHEN 'view' THEN 3 ELSE 0 END AS k, sequence FROM obs) WHERE k % 97 <> 50 UNION SELECT agent_id, 0 FROM obs WHERE agent_id = 'click')"),
     "coalesced_batches": _q("SELECT agent_id, sequence // 20 AS batch, ip, CAST(sum(request_count) AS BIGINT) AS request_count FROM obs GROUP BY ALL HAVING sum(request_count) > 0", _OBS),
     "batch_cost": _q("SELECT agent_id, sequence // 20 AS batch, count(DISTINCT ip) AS cost FROM obs GROUP BY ALL", _OBS),
     "agent_auth": _q("""SELECT sequence, agent_id, authenticated_as, CASE WHEN authenticated_as = 'error' THEN 'unknown' WHEN authenticated_as = 'purchase' THEN 'disabled' WHEN agent_id <> authenticated_as THEN 'mismatch'
@@ -155,23 +157,25 @@ QUERIES: dict[str, str] = {
       AND (a.network >> (32 - b.length)) << (32 - b.length) = b.network""", _DECLARED),
     "config_reevaluation": _q("SELECT ip, t, phase, total, state, CASE WHEN is_new THEN 2 ELSE 1 END AS config_version FROM new_edges", *_B, _TICKS, _CHANGED),
     "config_versions": _q("""SELECT seen_at, config_version FROM (SELECT *, max(config_version) OVER (ORDER BY seen_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM
-      (SELECT sequence AS seen_at, (sequence * 37) % 1000 + 1 AS config_version FROM obs WHERE sequence % 50 = 0)) WHERE newest IS NULL OR config_version > newest""", _OBS),
+      (SELECT sequence AS seen_at, (sequence * 37) % 1000 + sequence // 500 + 1 AS config_version FROM obs)) WHERE newest IS NULL OR config_version > newest""", _OBS),
     "rebucketed": _q("SELECT ip, bucket - bucket % 7200 AS bucket, CAST(sum(requests) AS BIGINT) AS requests FROM buckets GROUP BY 1, 2", *_B),
     "warm_up": _q("SELECT ip, t, phase, total, state FROM warm_edges", *_B, _TICKS, _WARM),
     "snapshot_plus_tail": _q("SELECT * FROM hot", *_H),
     "shard_merge": _q("SELECT * FROM counts WHERE length >= 8", *_C),
     "audit_counts": "SELECT 0::BIGINT AS violations, unnest(['counts', 'negative', 'orphans', 'hysteresis']) AS \"check\"",
     "audit_records": _q("SELECT ip + 1000000 AS ip, 'extra' AS problem FROM hot WHERE ip % 7 = 0 UNION ALL SELECT ip, 'missing' FROM hot WHERE ip % 7 = 0", *_H),
-    "hot_prefix_walk": _q("""SELECT length, network, hot_count, site, CAST(row_number() OVER (PARTITION BY site ORDER BY network, length) AS INTEGER) AS position FROM
-      (SELECT *, (network >> 16) << 16 AS site FROM counts WHERE length >= 16)""", *_C),
+    "hot_prefix_walk": _q("SELECT length, network, hot_count, row_number() OVER (ORDER BY network, length) AS position FROM counts WHERE length >= 8", *_C),
+    "declarations_order": _q("SELECT own_length AS length, own_network AS network, row_number() OVER (ORDER BY own_length, own_network) AS place FROM spots", _DECLARED),
     "canonical_attributes": """SELECT event_id, CASE WHEN event_id % 7 <> 0 AND event_id * 300 <= 1000000 THEN '{"attributes_version":1,"weight":' || event_id * 300 || ',"x_kind":"\\u00e9"}' END AS canonical FROM events""",
     "stream_equals_batch": _q("SELECT ip, t, phase, total, state FROM edges, moment WHERE t <= now", *_E),
     "rate_limit_decisions": f"""WITH RECURSIVE {_OBS},
-      calls AS (SELECT agent_id, t, sequence AS id, sequence % 5 + 1 AS cost, row_number() OVER (PARTITION BY agent_id ORDER BY t, sequence) AS n FROM obs),
-      folded AS (SELECT agent_id, n, t, id, cost, 10.0::DOUBLE >= cost AS allowed, CASE WHEN 10.0::DOUBLE >= cost THEN 10.0::DOUBLE - cost ELSE 10.0::DOUBLE END AS tokens FROM calls WHERE n = 1
+      every AS (SELECT agent_id, t, sequence AS id, sequence % 13 - 1 AS cost FROM obs),
+      calls AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY t, id) AS n FROM every WHERE cost BETWEEN 1 AND 10),
+      folded AS (SELECT agent_id, n, t, id, cost, true AS allowed, 10.0::DOUBLE - cost AS tokens FROM calls WHERE n = 1
         UNION ALL SELECT agent_id, n, t, id, cost, filled >= cost, CASE WHEN filled >= cost THEN filled - cost ELSE filled END FROM
         (SELECT c.*, least(10.0::DOUBLE, f.tokens + greatest(c.t - f.t, 0) * 0.002::DOUBLE) AS filled FROM folded f JOIN calls c ON c.agent_id = f.agent_id AND c.n = f.n + 1))
-      SELECT agent_id, t, id, cost, allowed, tokens FROM folded""",
+      SELECT e.agent_id, e.t, e.id, e.cost, f.allowed, CASE WHEN f.id IS NULL THEN 'cost' END AS problem, CASE WHEN NOT f.allowed THEN CAST(greatest(1, ceil((e.cost - f.tokens) / 0.002::DOUBLE)) AS INTEGER) END AS retry_after
+      FROM every e LEFT JOIN folded f ON f.agent_id = e.agent_id AND f.id = e.id""",
     "lease_history": f"""WITH RECURSIVE {_OBS},
       requests AS (SELECT ip % 4 AS shard, t, sequence AS id, agent_id AS owner, CASE WHEN sequence % 3 = 0 THEN 'release' ELSE 'acquire' END AS action, row_number() OVER (PARTITION BY ip % 4 ORDER BY t, sequence) AS n FROM obs),
       folded AS (SELECT shard, n, t, id, owner, action, action = 'acquire' AS granted, CASE WHEN action = 'acquire' THEN owner END AS holder, CASE WHEN action = 'acquire' THEN t + 7200 ELSE 0 END AS until FROM requests WHERE n = 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from emberlake import api
 from emberlake.config import DetectionConfig, accepted_versions, parse_shards
 from emberlake.functions import addressing as A
-from emberlake.operators import activity, audit, classify, folds, ingest, metadata, prefixes
+from emberlake.operators import activity, audit, classify, folds, ingest, metadata, ordering, prefixes
 from emberlake.sources import log as logs
 
 T0 = 1_800_000_000
@@ -192,7 +192,14 @@ def test_ingest(spark):
     assert [tuple(r) for r in ingest.coalesced(batch).collect()] == [("a", 1, 7, 11)]
     assert {r["agent_id"]: r["cost"] for r in ingest.batch_cost(batch).collect()} == {"a": 2, "b": 2}
     seen = spark.createDataFrame([("a", s) for s in (0, 1, 2, 4, 5, 5)] + [("b", 9)], "agent_id string, sequence long")
-    assert {r["agent_id"]: (r["mark"], r["ahead"]) for r in ingest.high_water_marks(seen).collect()} == {"a": (2, 2), "b": (9, 0)}
+    assert {r["agent_id"]: (r["mark"], r["ahead"]) for r in ingest.high_water_marks(seen).collect()} == {"a": (2, 2), "b": (-1, 1)}
+    rng = random.Random(3)
+    many = {f"g{k}": {s for s in range(rng.randrange(1, 40)) if rng.random() < 0.97 or s < 20} | {50, 63, 64} for k in range(12)} | {"late": {3, 4}, "all": set(range(64))}
+    frame = spark.createDataFrame([(a, s) for a, x in many.items() for s in x], "agent_id string, sequence long")
+    for span in (1, 7, 16, 1 << 16):
+        for r in ingest.high_water_marks(frame, span).collect():
+            mark = next(s for s in range(100) if s not in many[r["agent_id"]]) - 1
+            assert (r["mark"], r["ahead"]) == (mark, len([s for s in many[r["agent_id"]] if s > mark])), (r, span)
     body = spark.createDataFrame([('{"agent_id":"a","extra":1}',)], "raw string")
     row = body.select(ingest.unknown_keys(F.col("raw")).alias("k"), ingest.body_too_large(F.col("raw"), 10).alias("b"), ingest.retry_after(F.lit(7), F.lit(1.0), 2.0).alias("r")).first()
     assert (row["k"], row["b"], row["r"]) == (["extra"], True, 3)
@@ -210,6 +217,33 @@ def test_token_bucket(spark):
         assert got[k] == (ok, pytest.approx(tokens))
 
 
+def test_token_bucket_refuses_wrong_arguments(spark):
+    calls = spark.createDataFrame([("x", 0, 1, 0), ("x", 0, 2, 11), ("x", 0, 3, 10), ("x", 0, 4, None), ("x", 0, 5, 1), ("y", 0, 6, -1)], "agent_id string, t long, id long, cost long")
+    got = {r["id"]: (r["allowed"], r["problem"], r["tokens"]) for r in folds.token_bucket(calls, 1.0, 10.0).collect()}
+    assert got == {1: (None, "cost", 10.0), 2: (None, "cost", 10.0), 3: (True, None, 0.0), 4: (None, "cost", 0.0), 5: (False, None, 0.0), 6: (None, "cost", 10.0)}
+    for rate, burst in ((0, 1), (1, 0), (float("inf"), 1), (1, float("nan"))):
+        with pytest.raises(ValueError):
+            folds.token_bucket(calls, rate, burst)
+
+
+def test_two_level_order(spark):
+    rng = random.Random(11)
+    data = [(rng.choice("ab"), rng.randrange(300), k, rng.randrange(50)) for k in range(400)]
+    frame = spark.createDataFrame(data, "key string, t long, id long, value long")
+    order = sorted(data, key=lambda x: (x[0], x[1], x[2]))
+    want, seen = {}, {}
+    for key, _, k, value in order:
+        last = seen.setdefault(key, [])
+        want[k] = (len(last), last[-1] if last else -1, max(last) if last else None, sum(last) + value)
+        last.append(value)
+    for span in (1, 30, 10_000):
+        got = ordering.numbered(frame, ["key"], "t", ["t", "id"], "n", span)
+        got = ordering.previous(got, ["key"], "value", "t", ["t", "id"], F.lit(-1), "p", span)
+        got = ordering.greatest_before(got, ["key"], "value", "t", ["t", "id"], "g", span)
+        got = ordering.running_sum(got, ["key"], "value", "t", ["t", "id"], span)
+        assert {r["id"]: (r["n"], r["p"], r["g"], r["running"]) for r in got.collect()} == want
+
+
 def test_lease(spark):
     steps = [(0, "a", "acquire", True), (5, "b", "acquire", False), (9, "a", "acquire", True), (12, "b", "release", False), (13, "a", "release", True), (14, "b", "acquire", True), (24, "a", "acquire", True), (25, "b", "release", False)]
     df = spark.createDataFrame([(0, t, k, o, a) for k, (t, o, a, _) in enumerate(steps)], "shard int, t long, id long, owner string, action string")
@@ -227,7 +261,7 @@ def test_metadata(spark):
 
 def test_config(tmp_path, spark):
     assert DetectionConfig.from_json(CFG.to_json()) == CFG
-    for bad in ('{"hot_threshold": 5}', '{"nope": 1}', '{"window_seconds": 305}', '{"config_version": "1"}', '{"config_version": true}', '{"config_version":1,"config_version":1}', "[]", '{"minimum_hot_ratio": 1.5}', '{"weight_max": 1000001}'):
+    for bad in ('{"hot_threshold": 5}', '{"nope": 1}', '{"window_seconds": 305}', '{"config_version": "1"}', '{"config_version": true}', '{"config_version":1,"config_version":1}', "[]", '{"minimum_hot_ratio": 1.5}', '{"weight_max": 1000001}', '{"weight_max": 999}'):
         with pytest.raises(ValueError):
             DetectionConfig.from_json(bad)
     (tmp_path / "c.json").write_text('{"config_version": 2.0, "minimum_hot_ratio": 0}')
