@@ -1,4 +1,4 @@
-"""Count vectors of fixed length, added up over all partitions in Spark.
+"""Count vectors and bit sets of fixed length, added up over all partitions in Spark.
 
 A vector is cut into pieces of ``PIECE`` counts; each task sends one row for each
 piece, rows are dealt by piece and added as they stream by, so no task holds more
@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PIECE = 4096
 _SCHEMA = pa.schema([("piece", pa.int32()), ("counts", pa.binary())])
@@ -48,3 +49,22 @@ def count_vector(df: DataFrame, length: int, count: Callable[[pa.RecordBatch, np
         part = np.frombuffer(row["counts"], "<i8")
         out[row["piece"] * PIECE : row["piece"] * PIECE + len(part)] += part
     return out
+
+
+def cells_of(values: np.ndarray, cells: int) -> np.ndarray:
+    """The cell, of ``cells`` (a power of two), of 64-bit hashes: their first bits."""
+    return (values.view(np.uint64) >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+
+
+def bit_set(hashes: DataFrame, cells: int) -> np.ndarray:
+    """A bit for each cell, set where a value of the one long column falls; packed, the first bit lowest."""
+    cell = F.call_function("shiftrightunsigned", F.col(hashes.columns[0]), F.lit(65 - cells.bit_length()))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)).cast("int"))
+    rows = hashes.select(F.call_function("shiftright", cell, F.lit(6)).alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()  # cells / 64 rows at most
+    out = np.zeros(cells // 64, "<i8")
+    out[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, bitorder="little").view(bool)

@@ -1,17 +1,26 @@
-"""Benchmark decontamination over a positional inverted index.
-
-The index is stored: for each training document the sorted ids of the benchmark terms
-in it, and for each its positions (documents are the shards; words that no benchmark
-item has get no posting). From it come the terms' corpus frequencies. Every benchmark
-item gives its windows of ``WINDOW`` words (a shorter item is one window). A window's
-lists are intersected from its rarest term on: a posting of that term proposes the
-window's start, each further term, in order of rarity, must have the position that
-its offset calls for; what survives all terms is an exact phrase match. With ``slop``
-each further term may stand up to that many words off: a proximity match.
-
-Only the benchmark is broadcast, in blocks of whole items of ``BLOCK_BYTES`` at most;
-with several blocks the results are merged by document. No document is shuffled then
-either, only its few hits.
+"""Benchmark decontamination over a distributed positional inverted index.
+
+Nothing of the benchmark or the corpus is gathered on the driver or broadcast, but for
+bit sets of fixed length; both sides may grow.
+
+1. The index is stored: for each training document its terms with their positions, of
+   the words that the benchmark may have (a bit set of hash cells says which). Counted
+   over all documents it gives every term's corpus frequency.
+2. Every benchmark item gives its windows of ``WINDOW`` words (a shorter item is one
+   window); a window's terms are put in order of rarity. One that has a term without
+   any posting is out.
+3. The lists of the windows' two rarest terms are intersected where they are stored, at
+   the distance that their offsets call for (a bit set of such pairs keeps all others
+   from being sent); what they share is dealt by the pair and joined with the windows:
+   each posting of the rarest term, less its offset, proposes a start.
+4. Documents with proposals get their own stored lists back, and the proposals are
+   intersected with the offset-adjusted lists of the other terms, the next rarest first.
+   What survives all terms is an exact phrase match; what survives if each further term
+   may stand up to ``SLOP`` words off is a proximity match.
+
+Only few documents' lists are shuffled, those with a proposal. A hot pair's postings are
+split by Spark's skew handling, as the join needs no key's rows together. A bit that
+several terms or pairs share costs postings, never matches.
 
 Defined results: null or wordless texts have no words and no hits; benchmark rows
 with a null item_id or without words are ignored; rows of one item_id count as one
@@ -20,210 +29,271 @@ item; repeated documents give repeated results; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm import kernels as K
-from emberlake.llm.counts import count_vector
-from emberlake.llm.shared import cut, small_batches
+from emberlake.llm.counts import bit_set, cells_of, unpacked
+from emberlake.llm.shared import cut, drop, sliced
 
 WINDOW = 10
-#: Benchmark text that is broadcast at once.
-BLOCK_BYTES = 32 << 20
-#: Words whose postings are intersected at once.
-STEP = 1 << 20
+#: Words that each further term of a proximity match may stand off.
+SLOP = 1
+#: Bits of the set of terms, and of the set of pairs of a window's rarest terms.
+CELLS, PAIR_CELLS = 1 << 20, 1 << 23
 
 _INDEX = "doc_id long, text_hash long, n_words long, terms binary, ends binary, positions binary"
-_HITS = "doc_id long, text_hash long, n_words long, hits array<long>, items array<string>"
+#: What tells one document's text from others, null ids included.
+_DOC = ("doc", "text_hash")
 
 
-@dataclass
-class Windows:
-    """Distinct windows as term ids, padded with -1, and the items that have them."""
+def _pair(rarest: np.ndarray, second: np.ndarray, distance: np.ndarray | int) -> np.ndarray:
+    """A key of two terms and how far the second stands from the first; of a term alone with 0 and 0."""
+    return K.mix(rarest.view(np.uint64) + K.mix(second.view(np.uint64) ^ K.mix(np.asarray(distance, np.int64).astype(np.uint64)))).view(np.int64)
 
-    terms: np.ndarray  # sorted word hashes; a term's id is its place
-    cells: np.ndarray  # windows x WINDOW
-    lengths: np.ndarray
-    items: list[list[str]]
 
+def _flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists of a binary column, and the lists' ends among them."""
+    _, offsets, data = column.buffers()
+    offs = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    values = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(kind) if offs[-1] > offs[0] else np.zeros(0, kind)
+    return values, (offs - offs[0]) // values.itemsize
 
-def windows_of(item_ids: list, texts: list, width: int = WINDOW) -> Windows:
-    word, _, at = K.words(*K.utf8(pa.array(texts, pa.string())), K.WORD_ALNUM) if texts else (np.zeros(0, np.uint64), None, np.zeros(1, np.int64))
-    terms, ids = np.unique(word, return_inverse=True)
-    found: dict[tuple, set[str]] = {}
-    for k, item in enumerate(item_ids):
-        seq = ids[at[k] : at[k + 1]].tolist()
-        for i in range(max(1, len(seq) - width + 1) if seq else 0):
-            found.setdefault(tuple(seq[i : i + width]), set()).add(str(item))
-    cells = np.full((len(found), width), -1, np.int64)
-    for k, w in enumerate(found):
-        cells[k, : len(w)] = w
-    return Windows(terms, cells, np.array([len(w) for w in found], np.int64), [sorted(x) for x in found.values()])
 
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The other way round."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
-def benchmark_blocks(benchmark: DataFrame, width: int = WINDOW, limit: int = BLOCK_BYTES) -> Iterator[Windows]:
-    """The benchmark's windows, in blocks of bounded size."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // limit) or 1
-    for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        ids, texts = zip(*[(r["item_id"], r["text"]) for r in part.collect()], strict=True) if part.take(1) else ((), ())
-        yield windows_of(list(ids), list(texts), width)
 
+def windows_of(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """(item, window): the distinct windows of each item, as arrays of term hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 100):
+            word, _, at = K.words(*K.utf8(batch.column(1)), K.WORD_ALNUM)
+            terms, count = word.view(np.int64), np.diff(at)
+            many = np.where(count > 0, np.maximum(count - width + 1, 1), 0)
+            owner = np.repeat(np.arange(len(many)), many)
+            begin = at[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            size = np.minimum(width, count[owner])
+            ends = np.concatenate([[0], np.cumsum(size)])
+            flat = terms[np.repeat(begin, size) + np.arange(ends[-1]) - np.repeat(ends[:-1], size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int64()))], names=["item", "window"])
 
-def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """The stored index: postings of ``terms`` for every document."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(terms)
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    return rows.mapInArrow(run, "item string, window array<long>").distinct()
+
+
+def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The stored index: for each document its terms (sorted hashes) of those in ``terms`` (one long column), the ends of their lists, and the positions."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_set(terms, CELLS))  # CELLS bits
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary.value
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(vocab >> np.uint64(44)).astype(np.int64)] = True
-        for batch in batches:
+        maybe = unpacked(wanted.value)
+        for batch in sliced(batches):
             data, offs = K.utf8(batch.column(2))
             for lo, hi, d, o in K.blocks(data, offs):
                 word, _, at = K.words(d, o, K.WORD_ALNUM)
-                seen = np.flatnonzero(maybe[(word >> np.uint64(44)).astype(np.int64)])
-                ids = np.searchsorted(vocab, word[seen])
-                real = vocab[np.minimum(ids, max(len(vocab) - 1, 0))] == word[seen] if len(vocab) else np.zeros(0, bool)
-                seen, ids = seen[real], ids[real]
-                doc = np.searchsorted(at, seen, "right") - 1
-                order = np.argsort(doc * max(len(vocab), 1) + ids, kind="stable")
-                seen, ids, doc = seen[order], ids[order], doc[order]
-                edge = np.searchsorted(doc, np.arange(hi - lo + 1))
-                terms_, ends_, pos_ = [], [], []
-                for i in range(hi - lo):
-                    mine = ids[edge[i] : edge[i + 1]]
-                    last = np.flatnonzero(np.append(mine[1:] != mine[:-1], True)) if len(mine) else np.zeros(0, np.int64)
-                    terms_.append(mine[last].astype("<i4").tobytes())
-                    ends_.append((last + 1).astype("<i4").tobytes())
-                    pos_.append((seen[edge[i] : edge[i + 1]] - at[i]).astype("<i4").tobytes())
+                seen = np.flatnonzero(maybe[cells_of(word, CELLS)])
+                term, doc = word[seen].view(np.int64), np.searchsorted(at, seen, "right") - 1
+                order = np.lexsort((term, doc))  # stable: positions stay in order
+                seen, term, doc = seen[order], term[order], doc[order]
+                last = np.flatnonzero(np.append((doc[1:] != doc[:-1]) | (term[1:] != term[:-1]), True)) if len(doc) else np.zeros(0, np.int64)
+                row = np.arange(hi - lo + 1)
+                edge, lists = np.searchsorted(doc, row), np.searchsorted(doc[last], row)
+                ends = (last + 1 - edge[doc[last]]).astype("<i4")
                 cut_ = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([cut_.column(0), cut_.column(1), pa.array(np.diff(at), pa.int64()), pa.array(terms_, pa.binary()), pa.array(ends_, pa.binary()), pa.array(pos_, pa.binary())], names=["doc_id", "text_hash", "n_words", "terms", "ends", "positions"])
+                yield pa.RecordBatch.from_arrays([cut_.column(0), cut_.column(1), pa.array(np.diff(at), pa.int64()), _binary(term[last], lists), _binary(ends, lists), _binary((seen - at[doc]).astype("<i4"), edge)], names=["doc_id", "text_hash", "n_words", "terms", "ends", "positions"])
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return cut(rows.mapInArrow(build, _INDEX), "postings")
 
 
-def corpus_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
-    """Postings of each term in the whole corpus."""
-
-    def count(batch: pa.RecordBatch, vector: np.ndarray) -> None:
-        for terms, ends in zip(batch.column(0), batch.column(1), strict=True):
-            t, e = np.frombuffer(terms.as_buffer(), "<i4"), np.frombuffer(ends.as_buffer(), "<i4")
-            vector[t] += np.diff(e, prepend=0)
-
-    return count_vector(index.select("terms", "ends"), n_terms, count) if n_terms else np.zeros(0, np.int64)
-
-
-class Intersector:
-    """Offset-adjusted intersection of posting lists, rarest term first."""
-
-    def __init__(self, w: Windows, frequency: np.ndarray, slop: int = 0):
-        width = w.cells.shape[1]
-        freq = np.where(w.cells >= 0, frequency[np.maximum(w.cells, 0)] if len(frequency) else 0, np.iinfo(np.int64).max)
-        self.offset = np.argsort(freq, axis=1, kind="stable") if width else freq
-        self.term = np.take_along_axis(w.cells, self.offset, 1)
-        self.length, self.items, self.slop, self.width = w.lengths, w.items, slop, width
-        first = self.term[:, 0] if len(self.term) else np.zeros(0, np.int64)
-        self.by_term = np.argsort(first, kind="stable")
-        self.begin = np.searchsorted(first[self.by_term], np.arange(len(frequency) + 1))
-
-    def match(self, term_at: np.ndarray, low: np.ndarray, high: np.ndarray, place: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, window) of all matches. term_at: the term at each word or -1; a posting is a place, its term and its document's words low to high."""
-        many = self.begin[term + 1] - self.begin[term]
-        some = many > 0
-        place, term, many, low, high = place[some], term[some], many[some], low[some], high[some]
-        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        window = self.by_term[np.repeat(self.begin[term], many) + inside]
-        start, low, high = np.repeat(place, many) - self.offset[window, 0], np.repeat(low, many), np.repeat(high, many)
-        fits = (start >= low) & (start + self.length[window] <= high)
-        start, window, low, high = start[fits], window[fits], low[fits], high[fits]
-        for k in range(1, self.width):
-            want, at = self.term[window, k], start + self.offset[window, k]
-            ok = want < 0
-            for shift in range(-self.slop, self.slop + 1):
-                spot = at + shift
-                inside = (spot >= low) & (spot < high)
-                ok |= inside & (term_at[np.where(inside, spot, 0)] == want)
-            start, window, low, high = start[ok], window[ok], low[ok], high[ok]
-        return start, window
-
-
-def _intersect(index: DataFrame, w: Windows, slop: int) -> DataFrame:
-    """doc_id, text_hash, n_words, hits (word positions inside a match), items."""
-    engine = index.sparkSession.sparkContext.broadcast(Intersector(w, corpus_frequencies(index, len(w.terms)), slop))
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+class Lists:
+    """The stored lists of a batch of documents side by side: each document's words keep ``gap`` empty places after them."""
+
+    def __init__(self, n_words, terms, ends, positions, gap: int):
+        self.n_words = n_words.to_numpy().astype(np.int64)
+        self.base = np.concatenate([[0], np.cumsum(self.n_words + gap)]) + gap
+        self.terms, self.of = _flat(terms, "<i8")
+        ends, _ = _flat(ends, "<i4")
+        place, edge = _flat(positions, "<i4")
+        doc = np.repeat(np.arange(len(self.n_words)), np.diff(self.of))
+        first = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, bool)
+        self.sizes = ends - np.where(first, 0, np.concatenate([[0], ends[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        self.place = place + np.repeat(self.base[:-1], np.diff(edge))
+        self.doc = np.repeat(np.arange(len(self.n_words)), np.diff(edge))
+        self.term = np.repeat(self.terms, self.sizes)
+        self.at = np.zeros(self.base[-1] + gap, np.int64)  # the term at each place
+        self.at[self.place] = self.term
+
+
+def corpus_frequencies(index: DataFrame) -> DataFrame:
+    """(term, n): postings of each term in the whole corpus; each task sends a row for each term it has in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = Lists(*batch.columns, gap=0)
+            term, of = np.unique(lists.terms, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(np.bincount(of, lists.sizes, len(term)).astype(np.int64), pa.int64())], names=["term", "n"])
+
+    return index.select("n_words", "terms", "ends", "positions").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def ordered_windows(items: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(wid, window, terms, offsets): the distinct windows that may occur, with their terms in order of rarity."""
+    windows = items.select("window").distinct()
+    spread = windows.select("window", F.posexplode("window").alias("offset", "term")).join(frequencies, "term")
+    ranked = spread.groupBy("window").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("ranked"))  # WINDOW at most
+    whole = ranked.where(F.size("ranked") == F.size("window"))
+    return whole.select(F.monotonically_increasing_id().alias("wid"), "window", F.col("ranked.term").alias("terms"), F.col("ranked.offset").alias("offsets"))
+
+
+def _leads(windows: DataFrame, slop: int) -> DataFrame:
+    """(pair, wid, offset, size): the keys of each window's two rarest terms, one for each distance that ``slop`` allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = engine.value
         for batch in batches:
-            n = batch.column(2).to_numpy()
-            base = np.concatenate([[0], np.cumsum(n)])
-            lo = 0
-            while lo < len(n):
-                hi = max(lo + 1, int(np.searchsorted(base, base[lo] + STEP, "right")) - 1)
-                yield one(e, batch.slice(lo, hi - lo), base[lo : hi + 1] - base[lo])
-                lo = hi
-
-    def one(e: Intersector, part: pa.RecordBatch, base: np.ndarray) -> pa.RecordBatch:
-        count = len(base) - 1
-        places, terms, owners = [], [], []
-        for i in range(count):
-            t, ends, p = (np.frombuffer(part.column(c)[i].as_buffer(), "<i4") for c in (3, 4, 5))
-            if len(t):
-                places.append(p + base[i])
-                terms.append(np.repeat(t, np.diff(ends, prepend=0)))
-                owners.append(np.full(len(p), i))
-        hits, items = [[]] * count, [[]] * count
-        if places:
-            place, term, owner = np.concatenate(places), np.concatenate(terms).astype(np.int64), np.concatenate(owners)
-            term_at = np.full(base[-1], -1, np.int64)
-            term_at[place] = term
-            start, window = e.match(term_at, base[owner], base[owner + 1], place, term)
-            cover = np.zeros(base[-1] + 1, np.int64)
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start + e.length[window], -1)
-            spots = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
-            edge = np.searchsorted(spots, base)
-            doc = np.searchsorted(base, start, "right") - 1
-            names: dict[int, set[str]] = {}
-            for d, x in np.unique(np.stack([doc, window], 1), axis=0).tolist():
-                names.setdefault(d, set()).update(e.items[x])
-            hits = [spots[edge[i] : edge[i + 1]] - base[i] for i in range(count)]
-            items = [sorted(names.get(i, ())) for i in range(count)]
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], schema=schema)
-
-    return index.mapInArrow(run, _HITS)
-
-
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text_hash, n_words, hits, items of every document."""
-    parts = [_intersect(build_index(docs, w.terms), w, slop) for w in benchmark_blocks(benchmark, width, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    rows = F.floor(F.count("*") / len(parts)).cast("int")  # repeated documents come once for each block and copy
-    merged = every.groupBy("doc_id", "text_hash", "n_words").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), rows.alias("_rows"))
-    return merged.withColumn("_row", F.explode(F.array_repeat(F.lit(1), F.col("_rows")))).drop("_row", "_rows")
+            terms, offsets = (batch.column(c).flatten().to_numpy() for c in (1, 2))
+            begin = np.concatenate([[0], np.cumsum([len(x) for x in batch.column(1)])]).astype(np.int64)
+            size = np.diff(begin)
+            alone, own = np.flatnonzero(size == 1), np.flatnonzero(size > 1)
+            first = begin[own]
+            rows, keys = [alone], [_pair(terms[begin[alone]], np.zeros(len(alone), np.int64), 0)]
+            for shift in range(-slop, slop + 1):
+                rows.append(own)
+                keys.append(_pair(terms[first], terms[first + 1], offsets[first + 1] - offsets[first] + shift))
+            who = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), batch.column(0).take(pa.array(who)), pa.array(offsets[begin[who]], pa.int32()), pa.array(size[who], pa.int32())], names=["pair", "wid", "offset", "size"])
+
+    return windows.select("wid", "terms", "offsets").mapInArrow(run, "pair long, wid long, offset int, size int")
+
+
+def _shared_postings(index: DataFrame, leads: DataFrame, width: int, slop: int) -> DataFrame:
+    """(pair, doc, text_hash, n_words, position): places of a term with another at a distance, for the pairs that windows may start from."""
+
+    wanted = index.sparkSession.sparkContext.broadcast(bit_set(leads.select("pair"), PAIR_CELLS))  # PAIR_CELLS bits
+    gap = width + slop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = unpacked(wanted.value)
+        for batch in sliced(batches, 200):
+            lists = Lists(*batch.columns[2:], gap=gap)
+            rows, keys = [], []
+            for distance in range(-gap + 1, gap):
+                other = lists.at[lists.place + distance] if distance else np.zeros(len(lists.place), np.int64)
+                some = np.flatnonzero((other != 0) | (distance == 0))
+                pair = _pair(lists.term[some], other[some], distance)
+                hit = maybe[cells_of(pair, PAIR_CELLS)]
+                rows.append(some[hit])
+                keys.append(pair[hit])
+            who = np.concatenate(rows)
+            doc = lists.doc[who]
+            mine = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), *(batch.column(c).take(mine) for c in range(3)), pa.array((lists.place[who] - lists.base[doc]).astype(np.int32))], names=["pair", *_DOC, "n_words", "position"])
+
+    return index.mapInArrow(run, "pair long, doc long, text_hash long, n_words long, position int")
+
+
+def intersect(lists: Lists, doc: np.ndarray, start: np.ndarray, terms: np.ndarray, offsets: np.ndarray, size: np.ndarray, begin: np.ndarray, slop: int) -> np.ndarray:
+    """Which proposals (a document and a start) have all terms of their window, those from ``begin`` on, up to ``slop`` words off; the next rarest term first."""
+    left = np.arange(len(doc))
+    for k in range(1, int(size.max(initial=1))):
+        more = left[size[left] > k]
+        spot = lists.base[doc[more]] + start[more] + offsets[begin[more] + k]
+        found = np.zeros(len(more), bool)
+        for shift in range(-slop, slop + 1):
+            found |= lists.at[spot + shift] == terms[begin[more] + k]
+        keep = np.ones(len(doc), bool)
+        keep[more[~found]] = False
+        left = left[keep[left]]
+    return left
+
+
+_FOUND = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("hits", pa.list_(pa.int32())), ("near", pa.list_(pa.int32())), ("found", pa.list_(pa.struct([("wid", pa.int64()), ("exact", pa.bool_())])))])
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index; (doc, text_hash, hits, near, found) of the documents with a match, ``found`` being (wid, exact); (item, wid)."""
+    items = cut(windows_of(benchmark, width), "windows")
+    index = build_index(docs, items.select(F.explode("window")))
+    keyed = index.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), *index.columns[1:])
+    windows = cut(ordered_windows(items, corpus_frequencies(index)), "ranked")
+    leads = _leads(windows, slop)
+    start = (F.col("position") - F.col("offset")).cast("int")
+    met = _shared_postings(keyed, leads, width, slop).join(leads, "pair").where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
+    by_window = met.groupBy(*_DOC, "wid").agg(F.collect_set(start).alias("starts"))
+    proposed = by_window.join(windows.select("wid", "terms", "offsets"), "wid")
+    by_doc = cut(proposed.groupBy(*_DOC).agg(F.collect_list(F.struct("wid", "starts", "terms", "offsets")).alias("proposed")), "proposed")
+    once = keyed.join(by_doc, list(_DOC)).dropDuplicates(list(_DOC)).select(*_DOC, "n_words", "terms", "ends", "positions", "proposed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            lists = Lists(*batch.columns[2:6], gap=width + slop)
+            mine = batch.column(6)
+            of_window = np.repeat(np.arange(batch.num_rows), np.diff(mine.offsets.to_numpy()))
+            window = mine.flatten()
+            wid, starts, terms, offsets = (window.field(k) for k in range(4))
+            size = np.diff(terms.offsets.to_numpy()).astype(np.int64)
+            many = np.diff(starts.offsets.to_numpy())
+            which = np.repeat(np.arange(len(window)), many)
+            doc, start = of_window[which], starts.flatten().to_numpy().astype(np.int64)
+            begin = (np.cumsum(size) - size)[which]
+            cover, found = [], [set(), set()]
+            for k, off in enumerate((0, slop)):
+                left = intersect(lists, doc, start, terms.flatten().to_numpy(), offsets.flatten().to_numpy(), size[which], begin, off)
+                at = lists.base[doc[left]] + start[left]
+                edge = np.zeros(len(lists.at) + 1, np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + size[which[left]], -1)
+                cover.append(np.cumsum(edge)[:-1] > 0)
+                found[k] = set(which[left].tolist())
+            spans = []
+            for c in cover:
+                spots = np.flatnonzero(c)
+                edges = np.searchsorted(spots, lists.base)
+                spans.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array((spots - np.repeat(lists.base[:-1], np.diff(edges))).astype(np.int32))))
+            names = wid.to_numpy()
+            per_doc: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for w in sorted(found[1]):
+                per_doc[of_window[w]].append({"wid": int(names[w]), "exact": w in found[0]})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *spans, pa.array(per_doc, _FOUND.field("found").type)], schema=_FOUND)
+
+    hit = cut(once.mapInArrow(run, "doc long, text_hash long, hits array<int>, near array<int>, found array<struct<wid: long, exact: boolean>>").where(F.size("near") > 0), "hits")
+    drop(by_doc)
+    return index, hit, items.join(windows.select("wid", "window"), "window").select("item", "wid")
+
+
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """doc_id, text_hash, n_words, hits (word positions inside an exact match), items, near_hits, near_items (proximity matches, exact ones included) of every document."""
+    index, hit, items = matches(docs, benchmark, width, slop)
+    found = hit.select(*_DOC, F.inline("found")).join(items, "wid")
+    named = lambda which: F.sort_array(F.collect_set(which))
+    by_doc = found.groupBy(*_DOC).agg(named(F.when(F.col("exact"), F.col("item"))).alias("items"), named(F.col("item")).alias("near_items"))
+    result = hit.select(*_DOC, "hits", "near").join(by_doc, list(_DOC)).select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text"), "hits", "items", "near", "near_items")
+    rows = index.select("doc_id", "text_hash", "n_words").join(result, (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_doc")) & (F.col("text_hash") == F.col("_text")), "left")
+    or_none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    return rows.select("doc_id", "text_hash", "n_words", or_none("hits", "int").alias("hits"), or_none("items", "string").alias("items"), or_none("near", "int").alias("near_hits"), or_none("near_items", "string").alias("near_items"))
+
+
+def _key(docs: DataFrame) -> tuple[Column, Column]:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))), F.xxhash64(docs["text"])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of the documents in which no benchmark window occurs."""
-    found = phrase_matches(docs, benchmark).where(F.size("hits") > 0).select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
-    found = cut(found, "contaminated")
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_hit_id"]) & (F.xxhash64(docs["text"]) == found["_hit_hash"]), "left_anti")
+    index, hit, _ = matches(docs, benchmark, slop=0)
+    found = hit.where(F.size("hits") > 0).select(F.col("doc").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"))
+    drop(index)
+    doc, text = _key(docs)
+    return docs.join(found, (doc == found["_hit_id"]) & (text == found["_hit_hash"]), "left_anti")
 
 
 def op5_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = phrase_matches(docs, benchmark)
-    return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+    size = lambda c: F.size(c).cast("long")
+    return phrase_matches(docs, benchmark).select("doc_id", "n_words", size("hits").alias("n_hit"), size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), size("near_hits").alias("n_near_hit"), size("near_items").alias("n_near_items"))

@@ -13,9 +13,21 @@ sizes AS (SELECT DISTINCT n FROM win),
 spots AS (SELECT r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 found AS (SELECT r, item, n, i FROM spots JOIN win USING (n, phrase)),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
-named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY r)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY r),
+pos AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p, len(w) AS n_words FROM d WHERE len(w) > 0),
+freq AS (SELECT x, count(*) AS f FROM pos GROUP BY x),
+owned AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, list_slice(w, i, i + least(len(w), 10) - 1) AS t FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+numbered AS (SELECT t, row_number() OVER () AS k FROM (SELECT DISTINCT t FROM owned)),
+term AS (SELECT k, len(t) AS n, unnest(t) AS x, unnest(range(0, len(t))) AS o FROM numbered),
+ranked AS (SELECT term.*, row_number() OVER (PARTITION BY k ORDER BY f, o) AS place, count(*) OVER (PARTITION BY k) AS have FROM term JOIN freq USING (x)),
+proposed AS (SELECT DISTINCT r, k, ranked.n, p - o AS s FROM ranked JOIN pos USING (x) WHERE place = 1 AND have = ranked.n AND p - o >= 1 AND p - o + ranked.n - 1 <= n_words),
+close AS (SELECT c.r, c.k, c.s, c.n FROM proposed c JOIN ranked t ON t.k = c.k AND t.place > 1 JOIN pos q ON q.r = c.r AND q.x = t.x AND q.p BETWEEN c.s + t.o - 1 AND c.s + t.o + 1
+  GROUP BY ALL HAVING count(DISTINCT t.o) = c.n - 1 UNION ALL SELECT r, k, s, n FROM proposed WHERE n = 1),
+near_hit AS (SELECT r, count(DISTINCT p) AS n_near_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM close) GROUP BY r),
+near_named AS (SELECT r, count(DISTINCT item) AS n_near_items FROM close JOIN numbered USING (k) JOIN owned USING (t) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near_hit, 0) AS n_near_hit, coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN near_hit USING (r) LEFT JOIN near_named USING (r)
 """
 
 NEAR_DUPLICATES = rf"""

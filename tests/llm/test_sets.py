@@ -113,7 +113,7 @@ def test_near_duplicates_edges(spark):
     docs = docs_frame(spark, ["a b c d e", "A B C d e", "", "", None, "q"], [5, 4, 1, 2, 3, 4])
     kept = neardup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in rows(kept)) == [1, 2, 3, 4]  # two texts share doc_id 4: one stays
+    assert sorted(r["doc_id"] for r in rows(kept)) == [1, 2, 3, 4, 4]  # two rows share doc_id 4, but no component
 
 
 def test_drop_keeps_one_row_of_each_component(spark):
@@ -168,14 +168,23 @@ def test_decontamination_documents(spark, sf_dir):
     assert clean.columns == docs.columns and {r["doc_id"] for r in rows(clean)} == {x[0] for x in want if not x[-1]}
 
 
-@pytest.mark.parametrize("limit", [1 << 25, 40])
-def test_decontamination_edges(spark, limit):
+def test_decontamination_edges(spark):
     items = [(1, "the of x"), (1, "one two three four five six seven eight nine ten eleven twelve"), (2, "the"), (3, None), (None, "word"), (4, "..."), (10, "the of x"), (5, "a a a a a a a a a a a")]
-    texts = odd_texts() + ["One, two-three four five six seven eight nine ten eleven TWELVE. the of", "a " * 40, "the", "of the of x the", "the of x"]
-    want = brute_hits(list(enumerate(texts)), items)
-    found = decontaminate.phrase_matches(docs_frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_bytes=limit)
+    texts = odd_texts() + ["One, two-three four five six seven eight nine ten eleven TWELVE. the of", "a " * 40, "the", "of the of x the", "the of x", "the of x", None]
+    ids = [*range(len(texts) - 4), None, 77, 77, None]
+    want = brute_hits(list(zip(ids, texts, strict=True)), items)
+    found = decontaminate.phrase_matches(docs_frame(spark, texts, ids), spark.createDataFrame(items, "item_id long, text string"))
     got = [(r["doc_id"], r["n_words"], len(r["hits"]), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), bool(r["hits"])) for r in rows(found)]
-    assert sorted(got) == sorted(want)
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1:])
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
+def test_decontamination_of_repeated_rows_without_ids(spark):
+    texts = ["the of x"] * 3000 + [f"word {k % 50}" for k in range(3000)]
+    items = spark.createDataFrame([(1, "the of x")], "item_id long, text string")
+    got = rows(decontaminate.op5_decontaminate(docs_frame(spark, texts, [None] * 6000), items))
+    assert sorted(r["n_hit"] for r in got) == [0] * 3000 + [3] * 3000
+    assert decontaminate.drop_contaminated(docs_frame(spark, texts, [None] * 6000), items).count() == 3000
 
 
 def test_decontamination_empty(spark):
@@ -186,9 +195,9 @@ def test_decontamination_empty(spark):
 
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    docs = docs_frame(spark, ["alpha beta x gamma delta", "alpha beta gamma delta", "delta gamma beta alpha"])
-    near = {r["doc_id"]: r["items"] for r in rows(decontaminate.phrase_matches(docs, items, slop=1))}
-    assert near == {0: ["1"], 1: ["1"], 2: []}
+    docs = docs_frame(spark, ["alpha beta x gamma delta", "alpha beta gamma delta", "delta gamma beta alpha", "alpha beta x y z gamma delta"])
+    got = {r["doc_id"]: (r["items"], r["near_items"]) for r in rows(decontaminate.phrase_matches(docs, items))}
+    assert got == {0: ([], ["1"]), 1: (["1"], ["1"]), 2: ([], []), 3: ([], [])}
 
 
 # ---- quality
