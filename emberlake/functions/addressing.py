@@ -56,12 +56,18 @@ def parse_ipv6(text: pd.Series) -> pd.DataFrame:
             raw = None
         return (int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)) if raw else (None, None)
 
-    return pd.DataFrame([halves(t) for t in text], columns=["hi", "lo"], dtype="Int64")
+    both = [halves(t) for t in text]
+    return pd.DataFrame({name: pd.array([x[k] for x in both], dtype="Int64") for k, name in enumerate(("hi", "lo"))})  # a frame of tuples would round integers beside nulls
 
 
 @F.pandas_udf(T.StringType())
-def format_ipv6(hi: pd.Series, lo: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(h) or pd.isna(x) else str(ipaddress.IPv6Address(((int(h) % 2**64) << 64) | (int(x) % 2**64))) for h, x in zip(hi, lo, strict=True)], dtype="object")
+def _format_ipv6(hi: pd.Series, lo: pd.Series) -> pd.Series:
+    return pd.Series([None if h is None or x is None else str(ipaddress.IPv6Address(((int(h) % 2**64) << 64) | (int(x) % 2**64))) for h, x in zip(hi, lo, strict=True)], dtype="object")
+
+
+def format_ipv6(hi: Column, lo: Column) -> Column:
+    """Compressed text of an address's halves; they travel as text, as pandas would round integers beside nulls."""
+    return _format_ipv6(hi.cast("string"), lo.cast("string"))
 
 
 def bit_at(value: Column, index: Column | int, bits: int = 32) -> Column:

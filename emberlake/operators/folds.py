@@ -97,13 +97,12 @@ def lease_history(requests: DataFrame, ttl: int, key: str = "shard") -> DataFram
     return _streamed(requests, key, ["t", "id", "owner", "action"], [("granted", "boolean", pa.bool_())], lambda: (None, 0), fold)
 
 
-def claims(messages: DataFrame, ttl: int) -> DataFrame:
-    """(agent_id, sequence, t, id, claimed) from messages (agent_id, sequence, t, id), in order of (t, id).
+def claims(messages: DataFrame, ttl: int, key: tuple[str, ...] = ("agent_id", "sequence")) -> DataFrame:
+    """(key, t, id, claimed) from messages (key, t, id), in order of (t, id).
 
     The first message of an identity claims it for ``ttl`` seconds; until then repeats
     are refused and do not extend the claim; after that the next one claims it anew.
     """
-    key = ["agent_id", "sequence"]
     ordered = messages.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("_messages"))
     start = F.struct(F.lit(None).cast("long").alias("until"), F.array().cast("array<struct<t:bigint,id:bigint,claimed:boolean>>").alias("out"))
 

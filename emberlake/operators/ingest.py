@@ -51,6 +51,14 @@ def authenticated(messages: DataFrame, agents: DataFrame) -> DataFrame:
     return joined.withColumn("auth", auth).drop("_agent", "_enabled")
 
 
+def token_holders(calls: DataFrame, agents: DataFrame) -> DataFrame:
+    """Adds authenticated_as and auth (ok, unknown, disabled) to calls (token_hash, now): the agent whose token it is, or was until it ended."""
+    own = agents.select(F.col("agent_id").alias("authenticated_as"), "enabled", F.col("token_hash").alias("_hash"), F.lit(None).cast("long").alias("_until"))
+    former = agents.where("previous_token_hash is not null").select(F.col("agent_id").alias("authenticated_as"), "enabled", F.col("previous_token_hash").alias("_hash"), F.col("previous_expires_at").alias("_until"))
+    held = calls.join(own.union(former), (F.col("token_hash") == F.col("_hash")) & (F.col("_until").isNull() | (F.col("now") < F.col("_until"))), "left")
+    return held.withColumn("auth", F.when(F.col("_hash").isNull(), "unknown").when(~F.col("enabled"), "disabled").otherwise("ok")).drop("_hash", "_until", "enabled")
+
+
 def first_seen(messages: DataFrame, order: str) -> DataFrame:
     """One row for each (agent_id, sequence): the first by ``order``."""
     nth = F.row_number().over(Window.partitionBy("agent_id", "sequence").orderBy(order))

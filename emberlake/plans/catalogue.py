@@ -12,6 +12,7 @@ from emberlake.config import DetectionConfig, accepted_versions
 from emberlake.functions import addressing as A
 from emberlake.functions import hashing as H
 from emberlake.operators import activity, audit, classify, folds, ingest, metadata, ordering, prefixes
+from emberlake.plans import messages
 from emberlake.plans import sql as S
 from emberlake.sources import derived as D
 
@@ -434,11 +435,11 @@ _NAMES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in _NAMES}
+    return {name: globals()[name] for name in _NAMES} | messages.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(S.QUERIES)
+    return S.QUERIES | messages.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+import json
+import re
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlake.functions.hashing import partition_for
-from emberlake.sources.schemas import LOG, OBSERVATION_PAYLOAD, TOPICS
+from emberlake.operators.folds import claims
+from emberlake.operators.ordering import numbered
+from emberlake.sources.schemas import DUPLICATE_WINDOW_SECONDS, LOG, OBSERVATION_PAYLOAD, TOPICS
 
 
 def provision(spark: SparkSession, path: str) -> DataFrame:
@@ -34,8 +42,7 @@ def publish(spark: SparkSession, path: str, topic: str, rows: DataFrame) -> Data
     fresh = fresh.join(log.select("message_id").distinct(), "message_id", "left_anti")
     fresh = fresh.withColumn("partition", partition_for(F.col("key"), TOPICS[topic].partitions))
     ends = bounds(log).select("partition", "end_offset")
-    nth = F.row_number().over(Window.partitionBy("partition").orderBy("position")) - 1
-    out = fresh.withColumn("_nth", nth).join(F.broadcast(ends), "partition", "left")  # a row for each partition of the topic
+    out = numbered(fresh, ["partition"], "position", ["position"], "_nth", 1 << 20).join(F.broadcast(ends), "partition", "left")  # a row for each partition of the topic
     out = out.select(F.lit(topic).alias("topic"), "partition", (F.coalesce("end_offset", F.lit(0)) + F.col("_nth")).cast("long").alias("offset"), "key", "message_id", "value")
     out.write.mode("append").parquet(path)
     return out
@@ -94,9 +101,46 @@ def transition_store(events: DataFrame) -> DataFrame:
     return hot.join(events.groupBy("shard").agg((F.max("sequence") + 1).alias("next_sequence")), "shard")
 
 
-def load_agents(spark: SparkSession, path: str) -> DataFrame:
-    """The agent registry document as a dimension (agent_id, enabled, rate_limit_rps)."""
-    import json
+def without_repeats(rows: DataFrame, seconds: int = DUPLICATE_WINDOW_SECONDS) -> DataFrame:
+    """Rows (message_id, published_at, position) without those whose message_id was taken less than ``seconds`` before; a repeat does not extend that."""
+    claimed = claims(rows.select("message_id", F.col("published_at").alias("t"), F.col("position").alias("id")), seconds, ("message_id",))
+    return claimed.where("claimed").select("message_id", F.col("t").alias("published_at"), F.col("id").alias("position"))
+
+
+def key_id(key: bytes, label: bytes = b"agent-token-key-id") -> str:
+    """Tells keys apart without showing them."""
+    return hmac.new(key, label, hashlib.sha256).hexdigest()[:16]
+
+
+#: The fields of a registry document and of an agent in it.
+REGISTRY_FIELDS, AGENT_FIELDS = {"registry_version", "hash_algorithm", "key_id", "agents"}, {"token_hash", "previous_token_hash", "previous_token_expires_at", "enabled", "rate_limit_rps"}
+
+
+def agent_registry(spark: SparkSession, document: dict, key: bytes) -> DataFrame:
+    """A versioned registry as a dimension (agent_id, token_hash, previous_token_hash, previous_expires_at in seconds, enabled, rate_limit_rps); a document that breaks a rule is an error."""
+    wants = {"registry_version": 2, "hash_algorithm": "hmac-sha256", "key_id": key_id(key)}
+    if not isinstance(document, dict) or any(document.get(k) != v for k, v in wants.items()) or not isinstance(document.get("agents"), dict) or set(document) - REGISTRY_FIELDS:
+        raise ValueError("the registry's version, algorithm, key or fields are not the expected ones")
+    rows, held = [], {}
+    for name, agent in document["agents"].items():
+        if not isinstance(agent, dict) or set(agent) - AGENT_FIELDS or "token_hash" not in agent:
+            raise ValueError(f"{name}: fields")
+        former, until = agent.get("previous_token_hash"), agent.get("previous_token_expires_at")
+        rate, enabled = agent.get("rate_limit_rps"), agent.get("enabled", True)
+        if (former is None) != (until is None) or former == agent["token_hash"] or not isinstance(enabled, bool) or rate is not None and (not isinstance(rate, int) or isinstance(rate, bool) or rate <= 0):
+            raise ValueError(f"{name}: a former token needs an end and another hash, enabled a boolean, the rate a positive integer")
+        at = datetime.fromisoformat(until) if until is not None else None
+        if at is not None and at.tzinfo is None:
+            raise ValueError(f"{name}: the end of the former token needs an offset")
+        for value in filter(None, (agent["token_hash"], former)):
+            if not re.fullmatch("[0-9a-fA-F]{64}", value) or held.setdefault(value.lower(), name) != name:
+                raise ValueError(f"{name}: not a hash, or one that {held.get(value.lower())} has")
+        rows.append((name, agent["token_hash"].lower(), former and former.lower(), int(at.timestamp()) if at else None, enabled, rate))
+    return spark.createDataFrame(rows, "agent_id string, token_hash string, previous_token_hash string, previous_expires_at long, enabled boolean, rate_limit_rps int")
+
+
+def load_agents(spark: SparkSession, path: str, key: bytes) -> DataFrame:
+    """``agent_registry`` of a JSON file; a repeated key is an error."""
 
     def unique(pairs: list[tuple[str, object]]) -> dict:
         if len({k for k, _ in pairs}) < len(pairs):
@@ -104,12 +148,7 @@ def load_agents(spark: SparkSession, path: str) -> DataFrame:
         return dict(pairs)
 
     with open(path, encoding="utf-8") as f:
-        agents = json.load(f, object_pairs_hook=unique)["agents"]
-    entries = agents.items() if isinstance(agents, dict) else ((a["agent_id"], a) for a in agents)
-    rows = [(name, bool(a.get("enabled", True)), a.get("rate_limit_rps")) for name, a in entries]
-    if len({r[0] for r in rows}) < len(rows):
-        raise ValueError("repeated agent")
-    return spark.createDataFrame(rows, "agent_id string, enabled boolean, rate_limit_rps int")
+        return agent_registry(spark, json.load(f, object_pairs_hook=unique), key)
 
 
 def read_observations(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:

@@ -137,7 +137,8 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of its own in the one that driver and executors share."""
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir", None)
     if not where:
@@ -152,7 +153,7 @@ def transitions_of_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlake.operators.activity import bucket_counts
     from emberlake.sources.derived import CONFIG, observations
 
-    base = _folder(spark)
+    base = shared_folder(spark)
     buckets = bucket_counts(observations(spark, sf_dir))
     end = buckets.agg(F.max("bucket").alias("now"))  # one row
     past = CONFIG.allowed_lateness_seconds + 2 * CONFIG.bucket_seconds
@@ -162,3 +163,20 @@ def transitions_of_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
     out = run_to_end(transitions(stream, CONFIG), f"{base}/out", f"{base}/checkpoint")
     return out.crossJoin(F.broadcast(end)).where("t <= now").drop("now")
+
+
+def view_of_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The materialised view of prefix counts over a stream of the stored transitions: the last update of each prefix."""
+    from emberlake.plans.catalogue import _log
+
+    base = shared_folder(spark)
+    changes = _log(spark, sf_dir).select("ip", F.when(F.col("type") == "HotIpAdded", 1).otherwise(0).alias("state"))
+    changes.write.parquet(f"{base}/in")
+    view = prefix_deltas(spark.readStream.schema(changes.schema).parquet(f"{base}/in"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/view/batch={number}")
+
+    query = view.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/view").groupBy("length", "network").agg(F.max_by("hot_count", "batch").alias("hot_count"))

@@ -101,13 +101,20 @@ def test_read_observations(spark, tmp_path):
 
 
 def test_agents(spark, tmp_path):
-    p = tmp_path / "agents.json"
-    p.write_text('{"agents": {"a": {"enabled": true, "rate_limit_rps": 5}, "b": {"enabled": false}}}')
-    assert sorted(map(tuple, logs.load_agents(spark, str(p)).collect())) == [("a", True, 5), ("b", False, None)]
-    for bad in ('{"agents": {"a": {}, "a": {}}}', '{"agents": [{"agent_id": "a"}, {"agent_id": "a"}]}'):
+    key, p = b"k", tmp_path / "agents.json"
+    one = lambda c: c * 64
+    doc = lambda agents, **change: json.dumps({"registry_version": 2, "hash_algorithm": "hmac-sha256", "key_id": logs.key_id(key), "agents": agents} | change)
+    p.write_text(doc({"a": {"token_hash": one("a"), "rate_limit_rps": 5}, "b": {"token_hash": one("B"), "enabled": False, "previous_token_hash": one("c"), "previous_token_expires_at": "2027-01-15T09:00:00+01:00"}}))
+    assert sorted(map(tuple, logs.load_agents(spark, str(p), key).collect())) == [("a", one("a"), None, None, True, 5), ("b", one("b"), one("c"), 1800000000, False, None)]
+    good = {"token_hash": one("a")}
+    for bad in (
+        doc({"a": good}).replace('"a": {', '"a": {"enabled": true}, "a": {'), doc({"a": good}, registry_version=1), doc({"a": good}, key_id="0" * 16), doc({"a": good}, more=1), doc([]), doc({"a": {}}), doc({"a": good | {"token": "x"}}), doc({"a": good, "b": good}),
+        doc({"a": {"token_hash": "xyz"}}), doc({"a": good | {"previous_token_hash": one("b")}}), doc({"a": good | {"previous_token_hash": one("b"), "previous_token_expires_at": "2027-01-15T09:00:00"}}),
+        doc({"a": good | {"previous_token_hash": one("a"), "previous_token_expires_at": "2027-01-15T09:00:00Z"}}), doc({"a": good | {"rate_limit_rps": 0}}), doc({"a": good | {"enabled": 1}}),
+    ):
         p.write_text(bad)
-        with pytest.raises(ValueError, match="repeated"):
-            logs.load_agents(spark, str(p))
+        with pytest.raises(ValueError):
+            logs.load_agents(spark, str(p), key)
 
 
 def test_attributes(spark):
