@@ -13,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -92,8 +93,7 @@ class WindowProcessor(StatefulProcessor):
 
 
 def transitions(stream: DataFrame, cfg: DetectionConfig) -> DataFrame:
-    """State changes of a stream (ip, bucket, requests, at timestamp), as they happen."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    """State changes of a stream (ip, bucket, requests, at timestamp), as they happen. Start it within ``rocksdb_state``, as ``run_to_end`` does."""
     keyed = stream.withWatermark("at", f"{cfg.allowed_lateness_seconds + cfg.bucket_seconds} seconds").groupBy("ip")
     processor = WindowProcessor(cfg.window_seconds, cfg.hot_threshold, cfg.cold_threshold)
     schema = T.StructType([T.StructField("ip", T.LongType()), T.StructField("t", T.LongType()), T.StructField("phase", T.IntegerType()), T.StructField("total", T.LongType()), T.StructField("state", T.IntegerType())])
@@ -113,14 +113,19 @@ def prefix_deltas(changes: DataFrame, min_length: int = 8) -> DataFrame:
     return ancestors(signed, min_length).groupBy("length", "network").agg(F.sum("delta").alias("hot_count"))
 
 
-def idempotent_sink(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer: each batch goes to its own folder, which a repeated batch overwrites; keys that other batches wrote are left out."""
+def idempotent_sink(path: str, key: str, remember: int | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer: each batch goes to its own folder, which a repeated batch overwrites; keys that other batches wrote are left out.
+
+    ``remember``: how many batches back a key can come again; folders before those are
+    not read, so the cost of a batch does not grow with the sink. None: all of them.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         fresh = batch.dropDuplicates([key])
         spark = batch.sparkSession
         try:
             old = spark.read.parquet(path).where(F.col("batch") != number)
+            old = old if remember is None else old.where(F.col("batch") >= number - remember)
             fresh = fresh.join(old.select(key), key, "left_anti")
         except Exception as error:  # noqa: BLE001  the first batch finds no folder
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
@@ -130,10 +135,23 @@ def idempotent_sink(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB; the session is then as before."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run over all there is, then stop: replay to readiness. What was written, read back."""
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with rocksdb_state(stream.sparkSession):
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 

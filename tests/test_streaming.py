@@ -49,6 +49,12 @@ def test_idempotent_sink(spark, tmp_path):
     write(frame(["b", "c"]), 1)
     write(frame(["b", "c"]), 1)  # a batch repeated after a failure
     assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "sink")).collect()) == ["a", "b", "c"]
+    few = S.idempotent_sink(str(tmp_path / "few"), "event_id", remember=1)
+    frame = lambda *ids: spark.createDataFrame([(x,) for x in ids], "event_id string")
+    for number, ids in enumerate((("a", "b"), ("b", "c"), ("c", "a"))):
+        few(frame(*ids), number)
+    assert sorted((r["batch"], r["event_id"]) for r in spark.read.parquet(str(tmp_path / "few")).collect()) == [(0, "a"), (0, "b"), (1, "c"), (2, "a")]
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
 
 def test_prefix_view_stream(spark, tmp_path):
