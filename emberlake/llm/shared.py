@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="emberlake-"))
 
 
+#: Tables written since each ``scratch`` that is open began.
+_scratches: list[list[DataFrame]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs restart from the files, not from the lineage."""
     spark = df.sparkSession
@@ -31,6 +36,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    for tables in _scratches:
+        tables.append(out)
     return out
 
 
@@ -42,6 +49,23 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that marks a table made by ``cut`` as one to keep; all others made inside are deleted at the end."""
+    tables, kept = [], set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._shared_path)
+        return df
+
+    _scratches.append(tables)
+    try:
+        yield keep
+    finally:
+        _scratches.remove(tables)
+        drop(*(t for t in tables if t._shared_path not in kept))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
