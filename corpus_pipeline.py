@@ -1,7 +1,8 @@
 """Corpus pipeline: each stage reads the documents that the one before it left.
 
 run() writes what each stage returns to the shared folder and reads it again, so a
-lost executor costs a stage's lost tasks, not the stages before it.
+lost executor costs a stage's lost tasks, not the stages before it. All other tables
+of a stage are deleted then, and so is what the stage before it returned.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlake.llm import decontaminate, mixing, neardup, pii, quality
-from emberlake.llm.shared import cut, table
+from emberlake.llm.shared import cut, drop, scratch, table
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as keep:
+            docs = keep(cut(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
