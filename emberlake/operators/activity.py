@@ -81,21 +81,25 @@ def edges(states: DataFrame, order: tuple[str, ...] = ("t", "phase"), initial: C
     return states.withColumn("_before", before).where("state != _before").drop("_before")
 
 
-def hot_ip_events(changed: DataFrame, cfg: DetectionConfig, shards: int) -> DataFrame:
-    """The event of each edge, numbered within its shard."""
+def transition_events(changed: DataFrame, cfg: DetectionConfig, shards: int) -> DataFrame:
+    """What each edge says, without a number: all that readers of the hot set need."""
     shard = F.pmod(F.col("ip"), F.lit(shards)).cast("int")
     kind = F.when(F.col("state") == 1, "HotIpAdded").otherwise("HotIpRemoved")
     out = changed.select("ip", "t", "phase", shard.alias("shard"), kind.alias("type"), F.col("total").alias("window_count"))
-    out = numbered(out, ["shard"], "t", ["t", "phase", "ip"], "sequence")
     weight = threshold_ratio(F.col("window_count"), cfg.hot_threshold, cfg.weight_max)
     return (
         out.withColumn("weight", F.when(F.col("type") == "HotIpAdded", weight))
         .withColumn("attributes", F.when(F.col("type") == "HotIpAdded", transition_attributes(weight)))
         .withColumn("config_version", F.lit(cfg.config_version))
-        .withColumn("event_id", event_id(F.concat(F.lit("aggregator-"), F.col("shard").cast("string")), F.col("sequence"), F.col("type"), F.col("ip").cast("string")))
     )
 
 
+def hot_ip_events(changed: DataFrame, cfg: DetectionConfig, shards: int) -> DataFrame:
+    """The event of each edge, numbered within its shard."""
+    out = numbered(transition_events(changed, cfg, shards), ["shard"], "t", ["t", "phase", "ip"], "sequence")
+    return out.withColumn("event_id", event_id(F.concat(F.lit("aggregator-"), F.col("shard").cast("string")), F.col("sequence"), F.col("type"), F.col("ip").cast("string")))
+
+
 def reevaluated(buckets: DataFrame, old: DetectionConfig, new: DetectionConfig, change_at: Column | int) -> DataFrame:
     """The timeline under a change of thresholds: every tracked address is evaluated again at that moment (phase 2)."""
     change = F.lit(change_at).cast("long") if isinstance(change_at, int) else change_at

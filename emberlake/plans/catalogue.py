@@ -44,9 +44,13 @@ def _current(spark: SparkSession, d: str) -> DataFrame:
     return activity.current_states(states, F.col("now"))
 
 
+def _until_now(events: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    return events.crossJoin(F.broadcast(_now(spark, d))).where("t <= now").drop("now")
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    """Events up to the last bucket."""
-    return _events(spark, d).crossJoin(F.broadcast(_now(spark, d))).where("t <= now").drop("now")
+    """Events up to the last bucket, without numbers."""
+    return _until_now(activity.transition_events(activity.edges(_timeline(spark, d)), CFG, D.SHARDS), spark, d)
 
 
 def _hot(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +240,7 @@ def attribute_bytes(spark, d):
 
 
 def log_positions(spark, d):
-    return prefixes.log_position(_log(spark, d))
+    return prefixes.log_position(_until_now(_events(spark, d), spark, d))
 
 
 def prefix_counts(spark, d):
