@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.llm.shared import small_batches
+
 PIECE = 4096
 _SCHEMA = pa.schema([("piece", pa.int32()), ("counts", pa.binary())])
 
@@ -45,7 +47,9 @@ def count_vector(df: DataFrame, length: int, count: Callable[[pa.RecordBatch, np
 
     kind = "piece int, counts binary"
     out = np.zeros(length, np.int64)
-    for row in df.mapInArrow(local, kind).repartition("piece").mapInArrow(_add, kind).collect():
+    with small_batches(df.sparkSession):
+        rows = df.mapInArrow(local, kind).repartition("piece").mapInArrow(_add, kind).collect()
+    for row in rows:
         part = np.frombuffer(row["counts"], "<i8")
         out[row["piece"] * PIECE : row["piece"] * PIECE + len(part)] += part
     return out

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from emberlake.llm import kernels as K
 from emberlake.llm.counts import bit_set, cells_of, unpacked
-from emberlake.llm.shared import cut, drop, sliced
+from emberlake.llm.shared import cut, drop, marked, sliced
 
 WINDOW = 10
 #: Words that each further term of a proximity match may stand off.
@@ -223,14 +223,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: in
     items = cut(windows_of(benchmark, width), "windows")
     index = build_index(docs, items.select(F.explode("window")))
     keyed = index.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), *index.columns[1:])
-    windows = cut(ordered_windows(items, corpus_frequencies(index)), "ranked")
+    frequencies = cut(corpus_frequencies(index), "frequencies")  # else the join with the windows would take over the partitions of this sum, and Spark could not split a hot term
+    windows = cut(ordered_windows(items, frequencies), "ranked")
+    drop(frequencies)
     leads = _leads(windows, slop)
     start = (F.col("position") - F.col("offset")).cast("int")
     met = _shared_postings(keyed, leads, width, slop).join(leads, "pair").where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
     by_window = met.groupBy(*_DOC, "wid").agg(F.collect_set(start).alias("starts"))
     proposed = by_window.join(windows.select("wid", "terms", "offsets"), "wid")
     by_doc = cut(proposed.groupBy(*_DOC).agg(F.collect_list(F.struct("wid", "starts", "terms", "offsets")).alias("proposed")), "proposed")
-    once = keyed.join(by_doc, list(_DOC)).dropDuplicates(list(_DOC)).select(*_DOC, "n_words", "terms", "ends", "positions", "proposed")
+    asked = marked(keyed.withColumn("_key", F.struct(*_DOC)), by_doc.select(F.struct(*_DOC).alias("_key"))).where("_marked").drop("_key", "_marked")
+    once = asked.join(by_doc, list(_DOC)).dropDuplicates(list(_DOC)).select(*_DOC, "n_words", "terms", "ends", "positions", "proposed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from emberlake.llm import kernels as K
 from emberlake.llm.components import components
 from emberlake.llm.counts import count_vector
-from emberlake.llm.shared import cut, drop, let, sized, sliced
+from emberlake.llm.shared import cut, drop, let, marked, sized, sliced
 
 N = 5
 #: Similarity at which documents link, as a share of 100.
@@ -47,9 +47,6 @@ SMALL = 8
 LEADERS = (2, 8, 32)
 #: Pairs that a task verifies at least, if there are as many.
 PAIRS = 200
-#: Bits of the filter that keeps texts without a candidate out of the shuffle; 2 MB at most.
-MARK_BITS = 1 << 22
-
 _U = np.uint64
 
 
@@ -130,22 +127,13 @@ def _may_overlap(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * odd <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Adds _marked: false for rows whose key surely is not among ``keys``. A fixed number of bits is broadcast; more keys mark more rows."""
-    bit = F.pmod(F.xxhash64("_key"), F.lit(MARK_BITS))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
-    marks = keys.select(F.floor(bit / 64).alias("_slot"), one.alias("_one")).groupBy("_slot").agg(F.bit_or("_one").alias("_bits"))
-    found = F.call_function("shiftright", F.col("_bits"), (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return rows.join(F.broadcast(marks), F.floor(bit / 64) == F.col("_slot"), "left").withColumn("_marked", F.coalesce(found, F.lit(False))).drop("_slot", "_bits")
-
-
 def _verified(pairs: DataFrame, many: int, classes: DataFrame, repeated: bool, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(u, v, link) of the pairs, from the texts of one document of each class; ``repeated``: rows may share doc_id and text."""
     info = classes.select("cid", _key("best.").alias("_key"), "s1")
     at = lambda c: info.select(F.col("cid").alias(c), F.col("_key").alias(f"key_{c}"), F.col("s1").alias(f"s_{c}"))
     placed = cut(sized(pairs.join(at("u"), "u").join(at("v"), "v"), many), "placed")
     own = docs.select(_key(text=F.xxhash64("text")).alias("_key"), "text")
-    texts = _marked(own, placed.select(F.col("key_u").alias("_key")).union(placed.select("key_v"))).where("_marked").select("_key", "text")
+    texts = marked(own, placed.select(F.col("key_u").alias("_key")).union(placed.select("key_v"))).where("_marked").select("_key", "text")
     if repeated:
         texts = texts.groupBy("_key").agg(F.first("text").alias("text"))
     side = lambda c: texts.select(F.col("_key").alias(f"key_{c}"), F.col("text").alias(f"text_{c}"))
@@ -224,7 +212,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
         pairs = cut(sized(pairs, size if turn else groups.count()), "pairs")
         if leaders:
             raw, found = pairs, pairs.count()
-            signs = _marked(classes.select(F.col("cid").alias("_key"), "n", "parity"), raw.select(F.col("u").alias("_key")).union(raw.select("v"))).where("_marked")
+            signs = marked(classes.select(F.col("cid").alias("_key"), "n", "parity"), raw.select(F.col("u").alias("_key")).union(raw.select("v"))).where("_marked")
             sign = lambda c: signs.select(F.col("_key").alias(c), F.struct("n", "parity").alias(f"_{c}"))
             pairs = cut(sized(raw.join(sign("u"), "u").join(sign("v"), "v").where(_may_overlap("_u", "_v", percent)).select("u", "v"), found), "pairs")
             drop(raw)
@@ -258,11 +246,11 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
     found = cut(found, "judged")
     drop(profiles)
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), _key(text=F.xxhash64("text")).alias("_key"))  # packed: no column's name can clash
-    marked = _marked(own, found)
-    unsure = marked.where("_marked").join(found.select("_key"), "_key", "left_anti").select("_row")
+    seen = marked(own, found)
+    unsure = seen.where("_marked").join(found.select("_key"), "_key", "left_anti").select("_row")
     twice = found.where("stays").select("_key")  # equal doc_id and text: one row is taken before they are moved
-    once = _marked(own, twice).where("_marked").groupBy("_key").agg(F.first("_row").alias("_row")).join(twice, "_key", "left_semi").select("_row")
-    return marked.where("not _marked").select("_row").union(unsure).union(once).select("_row.*")
+    once = marked(own, twice).where("_marked").groupBy("_key").agg(F.first("_row").alias("_row")).join(twice, "_key", "left_semi").select("_row")
+    return seen.where("not _marked").select("_row").union(unsure).union(once).select("_row.*")
 
 
 def op9_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm import kernels as K
-from emberlake.llm.shared import small_batches
+from emberlake.llm.shared import sliced, small_batches
 
 SAMPLE = 2048
 DIMENSIONS = 48
@@ -127,24 +127,50 @@ def _weighted(terms: np.ndarray, extra: np.ndarray, idf: np.ndarray) -> np.ndarr
     return v
 
 
-def train(terms: np.ndarray, extra: np.ndarray, labels: np.ndarray, counts: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
-    """Truncated decomposition by subspace iteration from a seeded start; ``counts``: how many documents each row stands for."""
-    idf = (np.log((1 + len(labels)) / (1 + (terms > 0).sum(axis=0))) + 1).astype(np.float32)
+@dataclass
+class Sample:
+    """The term shares of sampled documents, kept sparse: ``at`` and ``share`` of row k lie between ``ends[k]`` and ``ends[k + 1]``."""
+
+    at: np.ndarray
+    share: np.ndarray
+    ends: np.ndarray
+    extra: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.extra)
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """ROWS rows at a time, dense."""
+        for lo in range(0, len(self), ROWS):
+            hi = min(lo + ROWS, len(self))
+            part = slice(self.ends[lo], self.ends[hi])
+            dense = np.zeros((hi - lo, TERMS), np.float32)
+            dense[np.repeat(np.arange(hi - lo), np.diff(self.ends[lo : hi + 1])), self.at[part]] = self.share[part]
+            yield slice(lo, hi), dense
+
+
+def train(sample: Sample, labels: np.ndarray, counts: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
+    """Truncated decomposition by subspace iteration from a seeded start; ``counts``: how many documents each row stands for.
+
+    No more than ROWS rows are dense at any time.
+    """
+    idf = (np.log((1 + len(labels)) / (1 + np.bincount(sample.at, minlength=TERMS))) + 1).astype(np.float32)
     if not len(labels):
         return Model(idf, np.zeros((TERMS + 3, 1), np.float32), np.zeros((0, 1), np.float32), labels, counts)
-    used = np.flatnonzero(np.concatenate([terms.any(axis=0), extra.any(axis=0)]))
-    small = np.empty((len(labels), len(used)), np.float32)
-    blocks = [slice(k, k + ROWS) for k in range(0, len(labels), ROWS)]
-    for b in blocks:
-        small[b] = _weighted(terms[b], extra[b], idf)[:, used]
-    dims = max(1, min(dimensions, len(used), len(labels)))
-    q = np.linalg.qr(np.random.default_rng(7).standard_normal((len(used), dims)))[0].astype(np.float32)
+    used = np.zeros(TERMS + 3, bool)
+    used[sample.at] = True
+    used[TERMS:] = sample.extra.any(axis=0)
+    dims = max(1, min(dimensions, np.count_nonzero(used), len(labels)))
+    q = np.zeros((TERMS + 3, dims), np.float32)
+    q[used] = np.linalg.qr(np.random.default_rng(7).standard_normal((np.count_nonzero(used), dims)))[0]
     for _ in range(8):
-        q = np.linalg.qr(small.T @ (small @ q))[0]
-    basis = np.zeros((TERMS + 3, dims), np.float32)
-    basis[used] = q
-    model = Model(idf, basis, np.zeros((0, dims), np.float32), labels.astype(np.float64), counts)
-    model.vectors = np.concatenate([model.latent(terms[b], extra[b]) for b in blocks])
+        turned = np.zeros_like(q)
+        for rows, dense in sample.blocks():
+            part = _weighted(dense, sample.extra[rows], idf)
+            turned += part.T @ (part @ q)
+        q[used] = np.linalg.qr(turned[used])[0]
+    model = Model(idf, q, np.zeros((0, dims), np.float32), labels.astype(np.float64), counts)
+    model.vectors = np.concatenate([model.latent(dense, sample.extra[rows]) for rows, dense in sample.blocks()])
     return model
 
 
@@ -159,26 +185,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     totals = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}  # two rows
     by_hash = [F.xxhash64("_id", F.lit(1)), F.col("_id")]
     chosen = known.where("_label = 1").orderBy(*by_hash).limit(sample).union(known.where("_label = 0").orderBy(*by_hash).limit(sample))
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id").select("_id", "_label", "text")  # 2 * sample rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id").select("_id", "_label", "text")  # 2 * sample rows
     kind = "_id long, _label int, at binary, share binary, extra binary"
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             lo = 0
             for terms, extra in features(batch.column(2)):
                 at = [np.flatnonzero(x) for x in terms]
                 part = batch.slice(lo, len(terms))
                 lo += len(terms)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.astype("<i4").tobytes() for x in at], pa.binary()), pa.array([t[x].tobytes() for t, x in zip(terms, at, strict=True)], pa.binary()), pa.array([x.tobytes() for x in extra], pa.binary())], names=["_id", "_label", "at", "share", "extra"])
-
-    got = sorted(rows.mapInArrow(extract, kind).dropDuplicates(["_id"]).collect(), key=lambda r: r["_id"])
-    terms = np.zeros((len(got), TERMS), np.float32)
-    for k, r in enumerate(got):
-        terms[k, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["share"], np.float32)
-    extra = np.array([np.frombuffer(r["extra"], np.float32) for r in got], np.float32).reshape(len(got), 3)
-    label = np.array([r["_label"] for r in got], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.astype("<u2").tobytes() for x in at], pa.binary()), pa.array([t[x].tobytes() for t, x in zip(terms, at, strict=True)], pa.binary()), pa.array([x.tobytes() for x in extra], pa.binary())], names=["_id", "_label", "at", "share", "extra"])
+
+    with small_batches(docs.sparkSession):
+        got = rows.mapInArrow(extract, kind).dropDuplicates(["_id"]).toArrow().sort_by("_id")  # 2 * sample rows of 6 bytes a term
+    flat = lambda name, of: np.frombuffer(b"".join(got[name].to_pylist()), of)
+    sizes = np.array([len(x) // 2 for x in got["at"].to_pylist()], np.int64)
+    chosen_ = Sample(flat("at", "<u2"), flat("share", np.float32), np.concatenate([[0], np.cumsum(sizes)]), flat("extra", np.float32).reshape(len(got), 3))
+    label = got["_label"].to_numpy().astype(np.int64)
+    del got
     stands_for = np.array([totals.get(x, 0) / max(1, np.count_nonzero(label == x)) for x in (0, 1)])
-    return train(terms, extra, label.astype(np.float64), stands_for[label])
+    return train(chosen_, label.astype(np.float64), stands_for[label])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -186,7 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             lo = 0
             for terms, extra in features(batch.column(2)):
                 part = batch.slice(lo, len(terms))
@@ -202,7 +229,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             good = [model.value.score(t, x) >= threshold for t, x in features(batch.column(at))]
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))

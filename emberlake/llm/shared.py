@@ -25,6 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="emberlake-"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs run inside hand whole texts to Python in batches of so many rows at most, which bounds an executor's memory; the session is then as before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Tables written since each ``scratch`` that is open began.
 _scratches: list[list[DataFrame]] = []
 
@@ -33,7 +46,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs restart from the files, not from the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     for tables in _scratches:
@@ -82,6 +96,19 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(lo, rows)
 
 
+#: Bits of the filter that keeps rows without a partner out of a shuffle; 2 MB at most.
+MARK_BITS = 1 << 22
+
+
+def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Adds _marked to rows with a _key: false if it surely is not among the ``keys`` (_key). A fixed number of bits is broadcast; more keys mark more rows."""
+    bit = F.pmod(F.xxhash64("_key"), F.lit(MARK_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    marks = keys.select(F.floor(bit / 64).alias("_slot"), one.alias("_one")).groupBy("_slot").agg(F.bit_or("_one").alias("_bits"))
+    found = F.call_function("shiftright", F.col("_bits"), (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(marks), F.floor(bit / 64) == F.col("_slot"), "left").withColumn("_marked", F.coalesce(found, F.lit(False))).drop("_slot", "_bits")
+
+
 def own_names(df: DataFrame, *names: str) -> dict[str, str]:
     """A column name for each of ``names`` that ``df`` does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}

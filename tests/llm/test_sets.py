@@ -113,6 +113,7 @@ def test_near_duplicates_edges(spark):
     docs = docs_frame(spark, ["a b c d e", "A B C d e", "", "", None, "q"], [5, 4, 1, 2, 3, 4])
     kept = neardup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"  # the session is as before
     assert sorted(r["doc_id"] for r in rows(kept)) == [1, 2, 3, 4, 4]  # two rows share doc_id 4, but no component
 
 
@@ -211,6 +212,37 @@ def test_quality_accuracy(spark):
     assert np.mean([a == b for a, b in unseen]) >= 0.95 and len(unseen) > 50
 
 
+def test_quality_by_brute_force(spark, sf_dir):
+    """The sparse fit against a dense one, and the votes against plain loops over all cosines."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    marks = {}
+    for r in rows(labels.where("quality is not null")):
+        marks.setdefault(r["doc_id"], []).append(r["quality"])
+    learnt = sorted(i for i in marks if zlib.crc32(str(i).encode()) % 4 != 2)
+    texts = {r["doc_id"]: r["text"] for r in rows(docs)}
+    parts = list(quality.features(pa.array([texts[i] for i in learnt], pa.string())))
+    terms, extra = np.concatenate([t for t, _ in parts]), np.concatenate([x for _, x in parts])
+    label = np.array([float(np.mean(marks[i]) >= 0.5) for i in learnt])
+    idf = (np.log((1 + len(learnt)) / (1 + (terms > 0).sum(axis=0))) + 1).astype(np.float32)
+    dense = quality._weighted(terms, extra, idf).astype(np.float64)
+    start = np.random.default_rng(7)
+    used = np.concatenate([terms.any(axis=0), extra.any(axis=0)])
+    q = np.linalg.qr(start.standard_normal((used.sum(), min(quality.DIMENSIONS, used.sum(), len(learnt)))))[0]
+    for _ in range(8):
+        q = np.linalg.qr(dense[:, used].T @ (dense[:, used] @ q))[0]
+    unit = lambda z: z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    sample = unit(dense[:, used] @ q)
+    model = quality.fit(docs, labels)
+    assert np.allclose(model.vectors @ model.vectors.T, sample @ sample.T, atol=1e-2) and model.labels.tolist() == label.tolist()
+    got = {r["doc_id"]: r["score"] for r in rows(quality.score(docs, model))}
+    for t, x, i in zip(*map(np.concatenate, zip(*quality.features(pa.array(list(texts.values()), pa.string())), strict=True)), texts, strict=True):
+        mine = model.latent(t[None], x[None])[0]
+        near = sorted(((float(mine @ v), y, c) for v, y, c in zip(model.vectors, model.labels, model.counts, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(cos, 1e-6) * c, y) for cos, y, c in near]
+        want = sum(w * y for w, y in votes) / sum(w for w, _ in votes) if t.sum() else 0.0
+        assert got[i] == pytest.approx(want, abs=0.02), i
+
+
 def test_quality_edges(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     train = table(spark, sf_dir, "documents")
