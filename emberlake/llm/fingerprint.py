@@ -84,19 +84,19 @@ _PLACE = ("key", "text_hash")
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """key (never null), text_hash, n, body."""
+    """key (never null), text_hash, body."""
     body = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(body).alias("text_hash"), F.length(body).alias("n"), body.alias("body"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
 
 
-def next_links(docs: DataFrame) -> DataFrame:
-    """(key, text_hash, prev_key, prev_text_hash, prev_n): each distinct row and the one before it, the last coming before the first.
+def next_links(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(key, text_hash, prev_key, prev_text_hash, prev_n): each distinct row and the one before it, the last coming before the first; whether rows repeat.
 
     Rows are dealt into ranges of equal size by (key, text_hash), so rows that share a
     doc_id, or have none, are spread too; only the first and last of each range (a few
     rows for many thousands) meet in one place.
     """
-    narrow = _placed(docs).groupBy(*_PLACE).agg(F.first("n").cast("long").alias("n"))
+    narrow = _placed(docs).select(*_PLACE, F.length("body").cast("long").alias("n")).groupBy(*_PLACE).agg(F.first("n").alias("n"), F.count("*").alias("copies"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(narrow.repartitionByRange(parts, *_PLACE).withColumn("part", F.spark_partition_id()), "ids")
     inside = Window.partitionBy("part").orderBy(*_PLACE)
@@ -108,24 +108,28 @@ def next_links(docs: DataFrame) -> DataFrame:
     joints = ends.select(F.col("part").alias("_part"), F.coalesce(F.lag("last").over(order), F.max("last").over(everything)).alias("_prev"))
     rows = rows.join(F.broadcast(joints), F.col("part") == F.col("_part"))  # one row for each shuffle partition
     pick = lambda c: F.when(F.col("prev_key").isNull(), F.col(f"_prev.{c}")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}")
-    return rows.select(*_PLACE, *(pick(c) for c in fields))
+    return rows.select(*_PLACE, *(pick(c) for c in fields)), bool(ranged.where("copies > 1").take(1))
 
 
 def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:
     """Each document with its edited text: the last quarter replaced by as much of the next document's beginning.
 
     Texts are shuffled once by place. To the document before it each one sends its sketch
-    and only as much of its text as that edit takes. Rows with equal doc_id and text are
-    one row with a count on the way: each but the last is followed by its like.
+    and only as much of its text as that edit takes. Rows with equal doc_id and text, if
+    there are any, are one row with a count on the way: each but the last is followed by
+    its like.
     """
-    links = next_links(docs).select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), "prev_key", "prev_text_hash", "prev_n")
-    rows = _placed(docs).withColumn("sketch", sketch(F.col("body"), k))
-    own = rows.groupBy(*_PLACE).agg(F.first(F.struct("n", "body", "sketch")).alias("own"), F.count("*").alias("copies")).select(*_PLACE, "own.*", "copies")
+    links, repeated = next_links(docs)
+    links = links.select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), "prev_key", "prev_text_hash", "prev_n")
+    own = _placed(docs).withColumn("sketch", sketch(F.col("body"), k))  # the same columns on both sides below, so that one exchange serves both
+    if repeated:
+        own = own.groupBy(*_PLACE).agg(F.first(F.struct("body", "sketch")).alias("own"), F.count("*").alias("copies")).select(*_PLACE, "own.*", "copies")
     at = lambda key, text: (F.col("key") == F.col(key)) & (F.col("text_hash") == F.col(text))
     sent = own.join(links, at("_key", "_hash")).select(F.col("prev_key").alias("_to"), F.col("prev_text_hash").alias("_to_hash"), F.expr("left(body, cast(prev_n div 4 as int))").alias("prefix"), F.col("sketch").alias("next_sketch"))
-    last = own.join(sent, at("_to", "_to_hash")).select("key", "n", "body", "sketch", "prefix", "next_sketch", F.lit(1).cast("long").alias("times"))
-    others = own.where("copies > 1").select("key", "n", "body", "sketch", F.expr("left(body, n div 4)").alias("prefix"), F.col("sketch").alias("next_sketch"), (F.col("copies") - 1).alias("times"))
-    both = last.union(others).withColumn("edited", F.expr("concat(left(body, n - n div 4), prefix)"))
+    both = own.join(sent, at("_to", "_to_hash")).select("key", "body", "sketch", "prefix", "next_sketch", F.lit(1).cast("long").alias("times"))
+    if repeated:
+        both = both.union(own.where("copies > 1").select("key", "body", "sketch", F.expr("left(body, length(body) div 4)").alias("prefix"), F.col("sketch").alias("next_sketch"), F.col("copies") - 1))
+    both = both.withColumn("n", F.length("body")).withColumn("edited", F.expr("concat(left(body, n - n div 4), prefix)"))
     return both.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "body", "edited", "sketch", sketch(F.col("edited"), k).alias("edited_sketch"), "next_sketch", "times")
 
 
