@@ -121,9 +121,12 @@ def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:
     """
     links, repeated = next_links(docs)
     links = links.select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), "prev_key", "prev_text_hash", "prev_n")
-    own = _placed(docs).withColumn("sketch", sketch(F.col("body"), k))  # the same columns on both sides below, so that one exchange serves both
+    own = _placed(docs)
     if repeated:
-        own = own.groupBy(*_PLACE).agg(F.first(F.struct("body", "sketch")).alias("own"), F.count("*").alias("copies")).select(*_PLACE, "own.*", "copies")
+        own = own.groupBy(*_PLACE).agg(F.first("body").alias("body"), F.count("*").alias("copies"))
+    else:
+        own = own.repartition(*_PLACE)  # by what both joins below ask for, so that one exchange of the texts alone serves both
+    own = own.withColumn("sketch", sketch(F.col("body"), k))
     at = lambda key, text: (F.col("key") == F.col(key)) & (F.col("text_hash") == F.col(text))
     sent = own.join(links, at("_key", "_hash")).select(F.col("prev_key").alias("_to"), F.col("prev_text_hash").alias("_to_hash"), F.expr("left(body, cast(prev_n div 4 as int))").alias("prefix"), F.col("sketch").alias("next_sketch"))
     both = own.join(sent, at("_to", "_to_hash")).select("key", "body", "sketch", "prefix", "next_sketch", F.lit(1).cast("long").alias("times"))
