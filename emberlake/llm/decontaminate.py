@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm import kernels as K
@@ -284,17 +284,16 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, s
     return rows.select("doc_id", "text_hash", "n_words", or_none("hits", "int").alias("hits"), or_none("items", "string").alias("items"), or_none("near", "int").alias("near_hits"), or_none("near_items", "string").alias("near_items"))
 
 
-def _key(docs: DataFrame) -> tuple[Column, Column]:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))), F.xxhash64(docs["text"])
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All columns of the documents in which no benchmark window occurs."""
+    """All columns of the documents in which no benchmark window occurs. Only rows that a bit set of the contaminated ones marks are shuffled."""
     index, hit, _ = matches(docs, benchmark, slop=0)
-    found = hit.where(F.size("hits") > 0).select(F.col("doc").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"))
+    key = lambda doc, text: F.struct(doc.alias("doc"), text.alias("text")).alias("_key")
+    found = hit.where(F.size("hits") > 0).select(key(F.col("doc"), F.col("text_hash")))
     drop(index)
-    doc, text = _key(docs)
-    return docs.join(found, (doc == found["_hit_id"]) & (text == found["_hit_hash"]), "left_anti")
+    doc, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))), F.xxhash64(docs["text"])
+    seen = marked(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), key(doc, text)), found)  # packed: no column's name can clash
+    unsure = seen.where("_marked").join(found, "_key", "left_anti").select("_row")
+    return seen.where("not _marked").select("_row").union(unsure).select("_row.*")
 
 
 def op5_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

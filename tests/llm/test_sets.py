@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlake.llm import components as cc
-from emberlake.llm import decontaminate, kernels, neardup, quality
+from emberlake.llm import decontaminate, kernels, neardup, quality, shared
 from emberlake.llm.shared import table
 from tests.llm.common import docs_frame, odd_texts, rows
 
@@ -188,6 +188,35 @@ def test_decontamination_of_repeated_rows_without_ids(spark):
     assert decontaminate.drop_contaminated(docs_frame(spark, texts, [None] * 6000), items).count() == 3000
 
 
+def shuffled_bytes(spark):
+    """Written by all shuffles of the session so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_decontamination_leaves_clean_texts_where_they_are(spark, monkeypatch):
+    rng = random.Random(4)
+    leak = " ".join(f"leak{k}" for k in range(12))
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(400)) + (f" {leak}" if k % 100 == 0 else "") for k in range(600)]
+    docs = docs_frame(spark, texts).localCheckpoint()
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string").localCheckpoint()
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # as if more documents were contaminated than Spark broadcasts
+    try:
+        start = shuffled_bytes(spark)
+        kept = rows(decontaminate.drop_contaminated(docs, items))
+        moved = shuffled_bytes(spark) - start
+        monkeypatch.setattr(shared, "MARK_BITS", 64)  # full: every row is compared
+        same = rows(decontaminate.drop_contaminated(docs, items))
+    finally:
+        spark.conf.set(name, before)
+    want = [(k, t) for k, t in enumerate(texts) if k % 100]
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == want == sorted((r["doc_id"], r["text"]) for r in same)
+    assert moved < 0.1 * sum(map(len, texts))
+
+
 def test_decontamination_empty(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert [r["n_hit"] for r in rows(decontaminate.op5_decontaminate(docs_frame(spark, ["a b", None]), items))] == [0, 0]
